@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import distinctive, neardup, overlap, splitter, topn, transducer
+from docloom.llm import distinctive, encode, mixing, neardup, overlap, splitter, topn, transducer, truncation
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -140,6 +140,45 @@ def p7_llr(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(scores, "id", "llr", ["term"], 5, salts=1)
 
 
+# --- problem 8 ---------------------------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(_table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+# --- problem 9 ---------------------------------------------------------------------------------------------------
+
+
+def _mix(spark: SparkSession, d: str):
+    documents = _table(spark, d, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(documents, _table(spark, d, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """All uses of texts in training order."""
+    return _mix(spark, d)[0].orderBy("position", "source", "doc_id", "copy")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, d))
+
+
+# --- problem 10 --------------------------------------------------------------------------------------------------
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_texts(_table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("truncated").select("doc_id").distinct()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares_by_source(_truncated(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = "p1_found p1_report p2_found p2_groups p3_found p4_found p4_ranked p5_found p5_one_form p6_found p6_pieces p7_found p7_llr p8_ids p9_mix p9_shares p10_found p10_shares"
     return {n: globals()[n] for n in names.split() if n in globals()}
