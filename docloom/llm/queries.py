@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import distinctive, encode, mixing, neardup, overlap, splitter, topn, transducer, truncation
+from docloom.llm import distinctive, encode, mixing, neardup, overlap, permindex, splitter, topn, transducer, truncation
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +64,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(sizes, "group_id").select(F.col("key").alias("id"), "group_key", "group_size")
 
 
+# --- problem 3 ---------------------------------------------------------------------------------------------------
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _table(spark, d, "chunk_vectors").select("chunk_id", "embedding")
+    return permindex.most_similar(vectors, "chunk_id", "embedding").select("chunk_id", "neighbor_id")
+
+
 # --- problem 4 ---------------------------------------------------------------------------------------------------
 
 
