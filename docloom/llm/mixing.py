@@ -121,7 +121,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, key: str, text: str, source:
     wanted = read_targets(targets)
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
     counted = rows.select("key", "source", F.xxhash64("text", F.lit(seed)).alias("h"), F.unhex(F.md5("text")).alias("id"), token_counts(path or default_path())("text").alias("n"))
-    texts = counted.where("n > 0").groupBy("id").agg(F.min("source").alias("source"), F.min("key").alias("key"), F.min("h").alias("h"), F.min("n").alias("n"))
+    texts = counted.groupBy("id").agg(F.min("source").alias("source"), F.min("key").alias("key"), F.min("h").alias("h"), F.min("n").alias("n"))
+    texts = texts.where("n > 0")  # not earlier: a filter on the counted column would count twice
     texts = texts.where(F.col("source").isin([s.name for s in wanted])) if wanted else texts.where("false")
     texts = materialize(texts, "texts")
     have = {r.source: r for r in texts.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens")).collect()}
