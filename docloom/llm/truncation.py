@@ -110,15 +110,28 @@ _ARROW_ENDING = pa.struct(
 )
 
 
+#: Longest broken mark, and how much of an end is looked at before all of it is.
+_MARK, _END = 30, 256
+
+
+def _without_omission(text: str) -> str:
+    """The text without white space and marks of omission at its end, however long they are."""
+    found = _OMISSION.search(text, max(0, len(text) - _END))
+    if found and found.start() <= max(0, len(text) - _END):
+        found = _OMISSION.search(text)
+    return text[: found.start()] if found else text
+
+
 def judge_ending(text: str) -> dict:
     """What the end of a text shows by itself."""
-    core = _OMISSION.sub("", text)
-    whole = core
-    broken = _BROKEN.search(core)
+    core = whole = _without_omission(text)
+    broken = _BROKEN.search(core, max(0, len(core) - _MARK))
     if broken:
-        core = _OMISSION.sub("", core[: broken.start()])
-    form = one_form(core).rstrip()
-    line = (_lines(form) or [""])[-1].strip()
+        core = _without_omission(core[: broken.start()])
+    core = core.rstrip()
+    at = max(core.rfind("\n"), core.rfind("\r"))
+    form = one_form(core[at + 1 :]).strip()
+    line = form.splitlines()[-1].strip() if form else ""
     open_end = bool(form) and (not _CLOSED.search(form) or bool(_NUMBERING.fullmatch(line)))
     word = re.search(r"(\w+)$", form)
     tails = []
@@ -133,7 +146,7 @@ def judge_ending(text: str) -> dict:
         "open": open_end,
         "broken": bool(broken) and bool(form),
         "omitted": text.rstrip() != whole and any(x in text[len(whole) :] for x in ("…", "...")),
-        "title": "\n" not in form and not _SENTENCE.search(form),
+        "title": at < 0 and not _SENTENCE.search(form),
         "token": word.group(1).lower() if word else None,
         "opening": opening(line) if len(line.split()) <= CLOSING_WORDS else None,
         "tails": tails,
@@ -164,8 +177,9 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     mostly = F.col("last") >= CLOSING_SHARE * F.col("all")
     kinds = lines.select("opening", (mostly & (F.col("last") >= CLOSING_LINES)).alias("closing"), (~mostly).alias("running"))
 
-    judged = rows.select("key", F.coalesce("source", F.lit("")).alias("s"), "source", endings("text").alias("e")).where("e is not null")
-    judged = materialize(judged.select("key", "s", "source", "e.*").withColumn("row", F.monotonically_increasing_id()), "endings")
+    judged = rows.select("key", F.coalesce("source", F.lit("")).alias("s"), "source", endings("text").alias("e"), F.monotonically_increasing_id().alias("row"))
+    # written before it is filtered: a filter on a function's result would run the function twice
+    judged = materialize(judged, "endings").where("e is not null").select("row", "key", "s", "source", "e.*")
 
     measured = judged.where("open").select("s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("m")).select("s", "m.*")
     totals = measured.where("unit = 'chars'").groupBy("s").agg(F.count("*").alias("of"))
