@@ -115,8 +115,7 @@ def _histogram(classes: DataFrame) -> bytes:
 
 
 def _classes(df: DataFrame, key: str, text: str, side: str) -> DataFrame:
-    rows = df.select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), words_column(F.col(text)).alias("words"))
-    return rows.where("key is not null and size(words) > 0").withColumn("cls", F.unhex(F.md5(F.concat_ws(" ", "words"))))
+    return df.select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), words_column(F.col(text)).alias("words"))
 
 
 _CHAIN = StructType([StructField(c, IntegerType()) for c in ("seeds", "left_words", "right_words")])
@@ -199,11 +198,14 @@ def overlapping_records(left: DataFrame, right: DataFrame, left_key: str, right_
     Null keys, and texts that are null, blank or without a word don't count; repeated rows count once; empty tables
     give no rows; other columns are ignored, whatever their names."""
     members = _classes(left, left_key, text, "l").unionByName(_classes(right, right_key, text, "r"))
-    members = materialize(members, "words")
+    # written before it is filtered: a filter on a function's result would run the function twice
+    members = materialize(members, "words").where("key is not null and size(words) > 0")
+    members = members.withColumn("cls", F.unhex(F.md5(F.concat_ws(" ", "words"))))
     # one row a class and side; the words are a function of cls, so any member's stand for it
     classes = materialize(members.groupBy("side", "cls").agg(F.min("words").alias("words")), "classes")
     marked = classes.select("side", "cls", _fingerprints(_histogram(classes))("words").alias("f"))
-    seeds = materialize(marked.select("side", "cls", "f.n", "f.bits", F.explode("f.seeds").alias("s")).select("side", "cls", "n", "bits", "s.h"), "seeds")
+    marked = materialize(marked, "fingerprints")  # else each of its fields would run the function
+    seeds = marked.select("side", "cls", "f.n", "f.bits", F.explode("f.seeds.h").alias("h"))
     l, r = (seeds.where(F.col("side") == s).drop("side").distinct().alias(s) for s in ("l", "r"))
     pairs = l.join(r, "h").where(_may_reach("l", "r", num, den)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
     texts = {s: classes.where(F.col("side") == s) for s in ("l", "r")}
