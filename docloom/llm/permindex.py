@@ -185,7 +185,7 @@ def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5
     vectors give no rows; other columns are ignored, whatever their names. Pivots are a hash sample of at most
     ``MOST_PIVOTS`` vectors, the only vectors that reach the driver."""
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("embedding")).where("id is not null")
-    rows = materialize(rows.withColumn("key", _vector_keys(dim)("embedding")).where("key is not null"), "vectors")
+    rows = materialize(rows.withColumn("key", _vector_keys(dim)("embedding")), "vectors").where("key is not null")
     members = materialize(rows.groupBy("id").agg(F.min("key").alias("key")), "members")
     alike = materialize(rows.groupBy("key").agg(F.min("embedding").alias("embedding")), "distinct")
     count = alike.count()
