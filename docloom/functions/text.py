@@ -143,7 +143,7 @@ def title(text: Column, max_words: int = 30) -> Column:
     after = F.when(code != "", F.regexp_replace(head, rf"(?s)^.*?Số:\s*{CODE}", "")).otherwise(head)
     tail = F.regexp_extract(after, rf"(?s)(?:{'|'.join(DOCUMENT_KINDS)}).*$", 0)
     tail = F.regexp_replace(F.regexp_replace(tail, rf"(?s){TITLE_STOP}.*$", ""), BOILERPLATE, " ")
-    name = F.trim(F.lit(" .,;:-"), F.array_join(F.slice(words(tail), 1, max_words), " "))
+    name = F.trim(F.array_join(F.slice(words(tail), 1, max_words), " "), F.lit(" .,;:-"))
     return F.when(name != "", F.trim(F.concat_ws(" ", F.regexp_replace(code, r"\s+", ""), name)))
 
 

@@ -16,6 +16,10 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A union that keeps its children's partitioning can be zipped with one that was coalesced to other partitions.
+    "spark.sql.unionOutputPartitioning": "false",
+    # Texts may be long: an Arrow batch is bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     # The candidate cap of 2000 rows a question must still become a WindowGroupLimit.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
