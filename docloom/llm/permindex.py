@@ -3,8 +3,8 @@
 A bounded sample of vectors serves as pivots. A vector is represented by its ``PREFIX`` nearest pivots in order, and
 posted in the inverted files of all pairs of them: two similar vectors order the pivots alike and so meet in some file.
 Within a file a vector's candidates are ranked by the footrule distance of their orders, and the nearest ``RERANK`` are
-reranked by their exact cosine. Every vector is indexed; a file that grows too large is divided by further pivots, and
-what no pivot tells apart is compared in blocks, so no file is cut short.
+reranked by their exact cosine. Every vector is indexed; a file that grows too large is divided by a further pivot, and
+what is too large then is compared in blocks, so no file is cut short.
 """
 
 from __future__ import annotations
@@ -144,35 +144,34 @@ def _search_files(dim: int, k: int, least: float):
     return run
 
 
+def _large(posted: DataFrame) -> DataFrame:
+    return materialize(posted.groupBy("file").count().where(F.col("count") > FILE), "large")
+
+
 def _post(vectors: DataFrame) -> DataFrame:
-    """Rows ``file, key, role``: role 0 asks and answers, 1 only asks, 2 only answers."""
+    """Rows ``file, key, role``: role 0 asks and answers, 1 only asks, 2 only answers.
+
+    A file of a pair of pivots that is too large is divided by a third: every vector goes to the files of each pivot it
+    has besides. What is too large then is a true cluster and is compared in blocks, block against block, so dividing
+    further costs no recall."""
     perm = [F.col("perm")[i] for i in range(PREFIX)]
-    pairs = F.array(*(F.struct(F.least(perm[i], perm[j]).alias("a"), F.greatest(perm[i], perm[j]).alias("b")) for i, j in _PAIRS))
-    posted = vectors.select("key", "perm", F.explode(pairs).alias("p")).select("key", "perm", F.xxhash64("p.a", "p.b").alias("file"), F.array("p.a", "p.b").alias("by"))
-    done = []
-    while True:
-        sizes = posted.groupBy("file").count().where(F.col("count") > FILE)
-        sizes = materialize(sizes, "large")
-        if sizes.isEmpty():
-            done.append(posted.select("file", "key", F.lit(0).alias("role")))
-            break
-        done.append(posted.join(sizes, "file", "left_anti").select("file", "key", F.lit(0).alias("role")))
-        large = posted.join(sizes, "file")
-        whole = large.where(F.size("by") >= F.size("perm"))
-        blocks = F.ceil(F.col("count") / FILE).cast("int")
-        own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-        numbered = whole.select("file", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        asks = numbered.select(F.xxhash64("file", "own", "other").alias("file"), "key", F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("role"))
-        answers = numbered.where("own <> other").select(F.xxhash64("file", "other", "own").alias("file"), "key", F.lit(2).alias("role"))
-        done += [asks, answers]
-        # one more pivot: every vector of the file goes to the files of each pivot it has besides
-        more = large.where(F.size("by") < F.size("perm")).select("key", "perm", "by", F.explode(F.array_except("perm", "by")).alias("x"))
-        by = F.array_sort(F.concat("by", F.array("x")))
-        posted = materialize(more.select("key", "perm", by.alias("by")).withColumn("file", F.xxhash64("by")).distinct(), "divided")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    pairs = F.array(*(F.array_sort(F.array(perm[i], perm[j])) for i, j in _PAIRS))
+    posted = vectors.select("key", "perm", F.explode(pairs).alias("by")).withColumn("file", F.xxhash64("by"))
+    every = lambda rows: rows.select("file", "key", F.lit(0).alias("role"))
+    large = _large(posted)
+    if large.isEmpty():
+        return every(posted)
+    more = posted.join(large, "file").select("key", "by", F.explode(F.array_except("perm", "by")).alias("x"))
+    divided = more.select("key", F.xxhash64(F.array_sort(F.concat("by", F.array("x")))).alias("file")).distinct()
+    divided = materialize(divided, "divided")
+    clusters = _large(divided)
+    blocks = F.ceil(F.col("count") / FILE).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    numbered = divided.join(clusters, "file").select("file", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    asks = numbered.select(F.xxhash64("file", "own", "other").alias("file"), "key", F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("role"))
+    answers = numbered.where("own <> other").select(F.xxhash64("file", "other", "own").alias("file"), "key", F.lit(2).alias("role"))
+    small = every(posted.join(large, "file", "left_anti")).unionByName(every(divided.join(clusters, "file", "left_anti")))
+    return small.unionByName(asks).unionByName(answers)
 
 
 def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.85) -> DataFrame:
