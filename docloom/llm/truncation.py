@@ -34,7 +34,7 @@ LIMIT_SHARE, LIMIT_TEXTS = 0.04, 3
 STAMP_TEXTS, STAMP_SHARE = 2, 0.2
 #: A line opening closes texts if it was seen so often in last lines, and mostly there.
 CLOSING_LINES, CLOSING_SHARE = 2, 0.5
-CLOSING_WORDS = 15
+CLOSING_WORDS, TITLE_WORDS = 15, 25
 #: A task hands its counts on when it holds so many different ones.
 FLUSH = 400_000
 
@@ -49,8 +49,8 @@ _SENTENCE = re.compile(r"[.!?;](?:\s|$)")
 
 
 def opening(line: str) -> str:
-    """The kind of a line: its first two tokens in lower case, digits as 9."""
-    return " ".join(_DIGITS.sub("9", line.lower()).split()[:2])
+    """The kind of a line: its first two tokens, digits as 9."""
+    return " ".join(_DIGITS.sub("9", line[:60]).split()[:2])
 
 
 def _lines(text: str) -> list[str]:
@@ -73,11 +73,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             form = one_form(text)
             words.update(_WORD.findall(form.lower()))
             lines = _lines(form)
-            for line in lines[:-1]:
-                counts["inner", opening(line)] += 1
-            if lines:
-                single = len(lines) == 1 and (_SENTENCE.search(form) or _CLOSED.search(form.rstrip()))
-                counts["inner" if single else "last", opening(lines[-1])] += 1
+            single = len(lines) == 1 and (_SENTENCE.search(form) or _CLOSED.search(form.rstrip()))
+            for i, line in enumerate(lines, 1):
+                counts["last" if i == len(lines) and not single else "inner", opening(line)] += 1
         for word, n in words.items():
             counts["word", word] += n
         if len(counts) > FLUSH:
@@ -132,7 +130,8 @@ def judge_ending(text: str) -> dict:
     at = max(core.rfind("\n"), core.rfind("\r"))
     form = one_form(core[at + 1 :]).strip()
     line = form.splitlines()[-1].strip() if form else ""
-    open_end = bool(form) and (not _CLOSED.search(form) or bool(_NUMBERING.fullmatch(line)))
+    numbered = bool(_NUMBERING.fullmatch(line))
+    open_end = bool(form) and (not _CLOSED.search(form) or numbered)
     word = re.search(r"(\w+)$", form)
     tails = []
     if not open_end:
@@ -146,9 +145,9 @@ def judge_ending(text: str) -> dict:
         "open": open_end,
         "broken": bool(broken) and bool(form),
         "omitted": text.rstrip() != whole and any(x in text[len(whole) :] for x in ("…", "...")),
-        "title": at < 0 and not _SENTENCE.search(form),
+        "title": at < 0 and len(line.split()) <= TITLE_WORDS and not _SENTENCE.search(form),
         "token": word.group(1).lower() if word else None,
-        "opening": opening(line) if len(line.split()) <= CLOSING_WORDS else None,
+        "opening": opening(line) if not numbered and (len(line.split()) <= CLOSING_WORDS or at < 0) else None,
         "tails": tails,
     }
 
@@ -172,10 +171,14 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     counts = texts.mapInArrow(_count, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
     known = counts.where((F.col("kind") == "word") & (F.col("n") >= KNOWN)).select("name")
-    trie = known.where(F.length("name") > 1).select("name").transform(_prefixes)
-    lines = counts.where("kind <> 'word'").groupBy(F.col("name").alias("opening")).agg(F.sum(F.when(F.col("kind") == "last", F.col("n")).otherwise(0)).alias("last"), F.sum("n").alias("all"))
-    mostly = F.col("last") >= CLOSING_SHARE * F.col("all")
-    kinds = lines.select("opening", (mostly & (F.col("last") >= CLOSING_LINES)).alias("closing"), (~mostly).alias("running"))
+    trie = _prefixes(known.select("name")).distinct()
+    last = F.sum(F.when(F.col("kind") == "last", F.col("n")).otherwise(0))
+    lines = materialize(counts.where("kind <> 'word'").groupBy("name").agg(last.alias("last"), F.sum("n").alias("all")), "openings")
+    # a line cut within its opening would look like a kind of its own that only ends texts
+    under = _prefixes(lines.where("all > last").select("name", (F.col("all") - F.col("last")).alias("n"))).groupBy("token").agg(F.sum("n").alias("under"))
+    kinds = lines.join(under.withColumnRenamed("token", "name"), "name", "left").withColumn("seen", F.col("all") + F.coalesce("under", F.lit(0)))
+    mostly = F.col("last") >= CLOSING_SHARE * F.col("seen")
+    kinds = kinds.select(F.col("name").alias("opening"), (mostly & (F.col("last") >= CLOSING_LINES)).alias("closing"), (~mostly).alias("running"))
 
     judged = rows.select("key", F.coalesce("source", F.lit("")).alias("s"), "source", endings("text").alias("e"), F.monotonically_increasing_id().alias("row"))
     # written before it is filtered: a filter on a function's result would run the function twice
@@ -199,7 +202,8 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     doubtful = doubtful.join(known.select(F.col("name").alias("token"), F.lit(True).alias("known")), "token", "left").join(trie.withColumn("prefix", F.lit(True)), "token", "left")
     within = F.col("open") & F.col("known").isNull() & F.coalesce("prefix", F.lit(False))
     limit = F.coalesce("char_limit", "byte_limit", F.lit(False))
-    closed = F.coalesce("closing", F.lit(False)) | (F.col("title") & ~limit & ~F.coalesce("running", F.lit(False)))
+    closing, running = (F.coalesce(c, F.lit(False)) for c in ("closing", "running"))
+    closed = closing | (F.col("title") & ~limit & ~running)
     cut = F.col("broken") | within | (F.col("open") & (~closed | F.col("omitted"))) | (F.col("omitted") & limit)
     found = doubtful.select("row", within.alias("within_word"), limit.alias("at_limit"), cut.alias("cut"))
     out = judged.select("row", "key", "source").join(found, "row", "left").join(stamped, "row", "left")
@@ -208,10 +212,11 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     return out.select(F.col("key").alias(key), F.col("source").alias(source), truncated.alias("truncated"), *flags)
 
 
-def _prefixes(words: DataFrame) -> DataFrame:
-    """The inner nodes of the trie of ``words``: every proper prefix once."""
+def _prefixes(names: DataFrame) -> DataFrame:
+    """The inner nodes of a trie: a row ``token`` for every proper prefix of every ``name``, with its other columns."""
     lengths = F.sequence(F.lit(1), F.length("name") - 1)
-    return words.select(F.explode(F.transform(lengths, lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("token")).distinct()
+    others = [c for c in names.columns if c != "name"]
+    return names.where(F.length("name") > 1).select(*others, F.explode(F.transform(lengths, lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("token"))
 
 
 def shares_by_source(found: DataFrame, source: str) -> DataFrame:
