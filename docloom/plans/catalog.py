@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.tokens import Tokenizer
-from docloom.operators import bm25, chunking, corpus, cutoff, dense, fusion, graph, labels, metrics, pooling, splits, statistics
+from docloom.operators import bm25, chunking, corpus, cutoff, dense, excerpts, fusion, graph, labels, metrics, pooling, splits, statistics, tuning
 from docloom.plans import sql as q
 from docloom.sources import readers
 
@@ -617,28 +617,81 @@ def cap_equivalence(spark, d):
 GRID = [(w, k) for w in (0.2, 0.4, 0.6, 0.8) for k in (10, 60)]
 
 
-def _grid_sql() -> str:
+def _grid_sql(columns: str, extra: str = "") -> str:
     cells = ", ".join(f"({w}, {k})" for w, k in GRID)
-    return f"""WITH {_LISTS}, cell AS (SELECT * FROM (VALUES {cells}) t(w, k)), un AS (SELECT qid, doc_id, rank, 0 AS s FROM ranking UNION ALL SELECT qid, doc_id, rank, 1 FROM second),
-    fu AS (SELECT w, k, qid, doc_id, round(sum(CASE WHEN s = 0 THEN CAST(w AS DOUBLE) ELSE 1 - CAST(w AS DOUBLE) END / (k + rank)), 9) AS score FROM un CROSS JOIN cell GROUP BY ALL),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY w, k, qid ORDER BY score DESC, doc_id) AS r FROM fu), tl AS (SELECT w, k, qid, list(doc_id) AS l FROM rk WHERE r <= 3 GROUP BY ALL)
-    SELECT CAST(c.w AS DOUBLE) AS w, c.k, round(avg(len(list_intersect(answer, coalesce(l, []))) / len(answer)), 6) AS recall FROM gold CROSS JOIN cell c LEFT JOIN tl t ON t.qid = gold.qid AND t.w = c.w AND t.k = c.k GROUP BY ALL"""
+    return f"""WITH {_LISTS}, cell AS (SELECT CAST(w AS DOUBLE) AS w, k FROM (VALUES {cells}) t(w, k)), un AS (SELECT qid, doc_id, rank, 0 AS s FROM ranking UNION ALL SELECT qid, doc_id, rank, 1 FROM second),
+    fu AS (SELECT w, k, qid, doc_id, round(sum(CASE WHEN s = 0 THEN w ELSE 1 - w END / (k + rank)), 9) AS score FROM un CROSS JOIN cell GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY w, k, qid ORDER BY score DESC, doc_id) AS r FROM fu), tl AS (SELECT w, k, qid, list(doc_id) AS l FROM rk WHERE r <= 3 GROUP BY ALL),
+    rc AS (SELECT c.w, c.k, gold.qid, len(list_intersect(answer, coalesce(l, []))) / len(answer) AS recall FROM gold CROSS JOIN cell c LEFT JOIN tl t ON t.qid = gold.qid AND t.w = c.w AND t.k = c.k){extra}
+    SELECT {columns}"""
 
 
-@query(_grid_sql())
-def grid_search(spark, d):
-    """Recall at 3 of every weight and constant: the sources are ranked once and spread over the cells."""
+def grid_recalls(spark, d) -> DataFrame:
     runs = two_runs(spark, d)
-    rows = runs["ranking"].select("qid", "doc_id", "rank", F.lit(0).alias("s")).unionByName(runs["second"].select("qid", "doc_id", "rank", F.lit(1).alias("s")))
-    cells = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in GRID)))
-    spread = rows.select("*", cells.alias("c")).select("qid", "doc_id", "rank", "s", "c.*")
-    share = F.when(F.col("s") == 0, F.col("w")).otherwise(1 - F.col("w")) / (F.col("k") + F.col("rank"))
-    fused = spread.groupBy("w", "k", "qid", "doc_id").agg(F.round(F.sum(share), 9).alias("score"))
-    top = bm25.rank_within(fused, ["w", "k", "qid"], [F.col("score").desc(), F.col("doc_id")], 3)
-    lists = top.groupBy("w", "k", "qid").agg(F.collect_list("doc_id").alias("l"))
-    wanted = gold(spark, d).select("qid", "answer", cells.alias("c")).select("qid", "answer", "c.*")
-    hit = F.size(F.array_intersect("answer", F.coalesce("l", F.array().cast("array<string>"))))
-    return wanted.join(lists, ["w", "k", "qid"], "left").groupBy("w", "k").agg(F.round(F.avg(hit / F.size("answer")), 6).alias("recall"))
+    return tuning.fusion_recalls(runs["ranking"], runs["second"], gold(spark, d), GRID, 3)
+
+
+@query(_grid_sql("w, k, round(avg(recall), 6) AS recall FROM rc GROUP BY ALL"))
+def grid_search(spark, d):
+    """Recall at 3 of every weight and constant."""
+    return grid_recalls(spark, d).groupBy("w", "k").agg(F.round(F.avg("recall"), 6).alias("recall"))
+
+
+HALF = "CASE WHEN substring(md5('42:' || qid), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 0 ELSE 1 END"
+
+
+@query(_grid_sql(f"w, k, fit, report, round((SELECT max(report) FROM cm) - report, 6) AS optimism FROM cm ORDER BY fit DESC, w DESC, k LIMIT 1", f", cm AS (SELECT w, k, round(avg(CASE WHEN {HALF} = 0 THEN recall END), 6) AS fit, round(avg(CASE WHEN {HALF} = 1 THEN recall END), 6) AS report FROM rc GROUP BY ALL)"))
+def grid_choice(spark, d):
+    """The cell chosen on one half of the questions, reported on the other, and its optimism."""
+    return tuning.choose(grid_recalls(spark, d))
+
+
+FACTORS = [0.0, 0.1, 0.3, 1.0]
+
+
+@query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.GOLD}, nw AS (SELECT doc_id, list_distinct({q.tokens('name')}) AS n FROM corpus WHERE name <> ''), qw AS (SELECT qid, list_distinct({q.tokens("coalesce(question, '')")}) AS w FROM eq),
+    fc AS (SELECT unnest({FACTORS}::DOUBLE[]) AS factor), s AS (SELECT factor, qid, doc_id, rank, round(score * (1 + factor * CASE WHEN len(n) > 0 THEN coalesce(len(list_intersect(w, n)), 0) / len(n) ELSE 0 END), 6) AS s FROM ranking CROSS JOIN fc LEFT JOIN qw USING (qid) LEFT JOIN nw USING (doc_id)),
+    tl AS (SELECT factor, qid, list(doc_id) AS l FROM (SELECT *, row_number() OVER (PARTITION BY factor, qid ORDER BY s DESC, rank) AS p FROM s) WHERE p <= 3 GROUP BY ALL),
+    rc AS (SELECT fc.factor, gold.qid, len(list_intersect(answer, coalesce(l, []))) / len(answer) AS recall FROM gold CROSS JOIN fc LEFT JOIN tl ON tl.qid = gold.qid AND tl.factor = fc.factor),
+    mn AS (SELECT factor, {HALF} AS half, round(avg(recall), 6) AS r FROM rc GROUP BY ALL), ch AS (SELECT 1 - half AS fold, factor FROM mn QUALIFY row_number() OVER (PARTITION BY half ORDER BY r DESC, factor) = 1)
+    SELECT CAST(fold AS INT) AS fold, factor, r AS recall FROM ch JOIN mn USING (factor) WHERE mn.half = fold""")
+def bonus_cross_validation(spark, d):
+    names = clean(spark, d).where("name <> ''").select("doc_id", F.array_distinct(Tokenizer()(F.col("name"))).alias("name_words"))
+    words = labels.distinct_questions(table(spark, d, "eval_questions")).select("qid", F.array_distinct(Tokenizer()(F.col("question"))).alias("question_words"))
+    return tuning.cross_validate(tuning.bonus_recalls(ranking(spark, d), words, names, gold(spark, d), FACTORS, 3), "factor")
+
+
+@query(f"""WITH {_LISTS}, pr AS (SELECT s.qid, list_contains(g.answer, s.doc_id) AS is_gold, s.score FROM second s JOIN gold g USING (qid)), per AS (SELECT qid, max(CASE WHEN is_gold THEN score END) AS g, max(CASE WHEN NOT is_gold THEN score END) AS o FROM pr GROUP BY 1 HAVING g IS NOT NULL AND o IS NOT NULL)
+    SELECT (SELECT count(*) FROM pr) AS scores, CAST(0 AS BIGINT) AS not_numbers, (SELECT round(avg(score), 6) FROM pr) AS mean, (SELECT round(stddev_pop(score), 6) FROM pr) AS deviation, count(*) AS compared, round(avg(CASE WHEN g > o THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS win_rate FROM per""")
+def rerank_probe(spark, d):
+    """The summed scores as a reranker's: do gold documents get the higher ones?"""
+    rows = ranking(spark, d, "sum").join(gold(spark, d), "qid")
+    return tuning.probe_scores(rows.select("qid", "doc_id", F.array_contains("answer", F.col("doc_id")).alias("is_gold"), F.col("score").alias("rerank_score")))
+
+
+@query(f"""WITH {_DOMAIN}, {q.GOLD}, gd AS (SELECT DISTINCT qid, domain FROM (SELECT qid, unnest(answer) AS doc_id FROM gold) JOIN dom USING (doc_id))
+    SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS rank FROM ranking LEFT JOIN dom USING (doc_id) SEMI JOIN gd USING (qid, domain)""")
+def domain_oracle(spark, d):
+    """What a filter that knew the gold documents' domains would leave."""
+    wanted = gold(spark, d).select("qid", F.explode("answer").alias("doc_id")).join(_domains(spark, d), "doc_id").select("qid", "domain").distinct()
+    rows = ranking(spark, d).join(_domains(spark, d), "doc_id").join(wanted, ["qid", "domain"], "left_semi")
+    return bm25.rank_within(rows.select("qid", "doc_id", F.col("rank").alias("old")), ["qid"], [F.col("old")]).drop("old")
+
+
+@query()
+def gold_excerpts(spark, d):
+    """Paragraphs of gold documents by keyword density; tested against a scalar twin."""
+    questions = train_labels(spark, d).where("question is not null")
+    return excerpts.excerpts(questions, questions.select("qid", F.explode("answer").alias("doc_id")), clean(spark, d))
+
+
+@query(f"""WITH {q.BM25_CHUNKS}, {q.CORPUS}, t AS (SELECT doc_id, unnest({q.tokens('name')}) AS term FROM corpus WHERE name <> '')
+    SELECT doc_id, count(*) AS terms, count(idf) AS known, round(avg(idf), 6) AS mean_idf FROM t LEFT JOIN vocabulary USING (term) GROUP BY doc_id""")
+def name_term_idf(spark, d):
+    """How rare the words of a document's name are among the chunks."""
+    index = bm25.build_index(pieces(spark, d))
+    words = clean(spark, d).where("name <> ''").select("doc_id", F.explode(Tokenizer()(F.col("name"))).alias("term"))
+    return words.join(index.terms, "term", "left").groupBy("doc_id").agg(F.count("*").alias("terms"), F.count("idf").alias("known"), F.round(F.avg("idf"), 6).alias("mean_idf"))
 
 
 # --- graphs, splits, samples ----------------------------------------------------------------------------------------
