@@ -10,6 +10,7 @@ all its words back in order.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,21 +47,21 @@ class SplitConfig:
             object.__setattr__(self, "overlap", 0)
 
 
-def _strengths(text: str, spans: list[tuple[int, int]], headings: re.Pattern) -> list[int]:
-    """For every word the strength of the boundary before it."""
-    starts = {m.start() for m in headings.finditer(text)}
+def _strengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """For every word the strength of the boundary before it, but for headings."""
     out = [SPACE] * len(spans)
     for i in range(1, len(spans)):
-        (_, before), (start, end) = spans[i - 1], spans[i]
-        gap, last = text[before:start], text[before - 1]
-        breaks = gap.count("\n") or gap.count("\r") + gap.count(" ")
-        if start in starts and (breaks or last in ".;:!?"):
-            out[i] = HEADING
-        elif breaks:
-            out[i] = PARAGRAPH if breaks > 1 else LINE
-        elif last in ".!?…" and not _ITEM.match(text[spans[i - 1][0] : before]):
+        before, start = spans[i - 1][1], spans[i][0]
+        last = text[before - 1]
+        if start - before > 1 or text[before] in "\n\r\u2028":
+            gap = text[before:start]
+            breaks = gap.count("\n") or gap.count("\r") + gap.count("\u2028")
+            if breaks:
+                out[i] = PARAGRAPH if breaks > 1 else LINE
+                continue
+        if last in ".!?…" and not _ITEM.match(text[spans[i - 1][0] : before]):
             out[i] = SENTENCE
-        elif end - start <= 4 and _ITEM.match(text[start:end]):
+        elif spans[i][1] - start <= 4 and _ITEM.match(text[start : spans[i][1]]):
             out[i] = ITEM
         elif last in ";:":
             out[i] = CLAUSE
@@ -69,6 +70,28 @@ def _strengths(text: str, spans: list[tuple[int, int]], headings: re.Pattern) ->
     return out
 
 
+def _with_headings(base: list[int], text: str, spans: list[tuple[int, int]], headings: re.Pattern) -> list[int]:
+    """The strengths with the words raised that begin a heading, which follows a line's or a sentence's end."""
+    out, starts = list(base), [start for start, _ in spans]
+    for match in headings.finditer(text):
+        i = bisect_left(starts, match.start())
+        if 0 < i < len(starts) and starts[i] == match.start() and (base[i] in (LINE, PARAGRAPH) or text[spans[i - 1][1] - 1] in ".;:!?"):
+            out[i] = HEADING
+    return out
+
+
+def _nearest_strongest(strengths: list[int], first: int, last: int, middle: float) -> int:
+    """Of the strongest boundaries in ``first..last`` the one nearest to the middle, the earlier of two."""
+    window = strengths[first : last + 1]
+    strongest, at = max(window), min(max(int(middle) - first + 1, 0), len(window))
+    before, after = window[:at][::-1], window[at:]
+    left = first + at - 1 - before.index(strongest) if strongest in before else None
+    right = first + at + after.index(strongest) if strongest in after else None
+    if left is None or right is None:
+        return right if left is None else left
+    return left if middle - left <= right - middle else right
+
+
 def bisect_spans(strengths: list[int], size: int, overlap: int) -> list[tuple[int, int, int]]:
     """``(first word with overlap, first own word, end)`` of every piece of a text with these boundaries."""
     n = len(strengths)
@@ -84,7 +107,7 @@ def bisect_spans(strengths: list[int], size: int, overlap: int) -> list[tuple[in
         first, last = max(lo + 1, int(middle) - reach), min(hi - 1, int(middle) + reach)
         if not lo and overlap < last:
             first = max(first, min(overlap, limit))  # else the first piece couldn't give the whole overlap
-        cut = min(range(first, last + 1), key=lambda i: (-strengths[i], abs(i - middle), i))
+        cut = _nearest_strongest(strengths, first, last, middle)
         stack += [(cut, hi), (lo, cut)]
     return [(max(0, lo - overlap) if lo else 0, lo, hi) for lo, hi in parts]
 
@@ -97,7 +120,10 @@ def split_text(text: str, config: SplitConfig) -> list[dict]:
 
 def _pieces(text: str, spans: list, config: SplitConfig, strengths: dict, with_text: bool) -> list[dict]:
     if len(spans) > config.size and config.strategy not in strengths:
-        strengths[config.strategy] = _strengths(text, spans, _HEADINGS[config.strategy])
+        if "" not in strengths:
+            strengths[""] = _strengths(text, spans)
+        base = strengths[""]
+        strengths[config.strategy] = _with_headings(base, text, spans, _HEADINGS[config.strategy])
     cuts = bisect_spans(strengths.get(config.strategy) if len(spans) > config.size else [SPACE] * len(spans), config.size, config.overlap)
     return [
         {
