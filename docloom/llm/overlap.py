@@ -25,7 +25,7 @@ K = 6
 WINDOW = 4
 #: Buckets of the histogram that tells rare runs from frequent ones: 2**16 counts, whatever the input.
 HISTOGRAM_BITS = 16
-SIGNATURE_WORDS = 4  # of 64 bits
+SIGNATURE_WORDS = 2  # of 64 bits
 #: Sets of up to so many words also get seeds that find every pair, whatever the order of the words.
 SHORT = 30
 
@@ -201,21 +201,24 @@ def overlapping_records(left: DataFrame, right: DataFrame, left_key: str, right_
     # written before it is filtered: a filter on a function's result would run the function twice
     members = materialize(members, "words").where("key is not null and size(words) > 0")
     members = members.withColumn("cls", F.unhex(F.md5(F.concat_ws(" ", "words"))))
-    # one row a class and side; the words are a function of cls, so any member's stand for it
-    classes = materialize(members.groupBy("side", "cls").agg(F.min("words").alias("words")), "classes")
-    marked = classes.select("side", "cls", _fingerprints(_histogram(classes))("words").alias("f"))
+    # One row a class and side; the words are a function of cls, so any member's stand for it. From here on a class is
+    # known by a number of 8 bytes, given once, as it moves with every seed.
+    classes = members.groupBy("side", "cls").agg(F.min("words").alias("words")).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    marked = classes.select("side", "id", _fingerprints(_histogram(classes))("words").alias("f"))
     marked = materialize(marked, "fingerprints")  # else each of its fields would run the function
-    seeds = marked.select("side", "cls", "f.n", "f.bits", F.explode("f.seeds.h").alias("h"))
-    l, r = (seeds.where(F.col("side") == s).drop("side").distinct().alias(s) for s in ("l", "r"))
-    pairs = l.join(r, "h").where(_may_reach("l", "r", num, den)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+    seeds = marked.select("side", "id", "f.n", "f.bits", F.explode(F.array_distinct("f.seeds.h")).alias("h"))
+    l, r = (seeds.where(F.col("side") == s).drop("side").alias(s) for s in ("l", "r"))
+    pairs = l.join(r, "h").where(_may_reach("l", "r", num, den)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     texts = {s: classes.where(F.col("side") == s) for s in ("l", "r")}
-    both = pairs.join(texts["l"].select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a")
-    both = both.join(texts["r"].select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
+    both = pairs.join(texts["l"].select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("cls").alias("ca")), "a")
+    both = both.join(texts["r"].select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("cls").alias("cb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("union", F.size(F.array_union("wa", "wb")))
     both = both.where(den * F.col("shared") >= num * F.col("union")).withColumn("chain", chain_and_extend("wa", "wb"))
-    scored = both.select("a", "b", "shared", "union", F.col("chain.seeds").alias("seeds"), (F.col("chain.left_words") / F.size("wa")).alias("left_cover"), (F.col("chain.right_words") / F.size("wb")).alias("right_cover"))
-    ids = {s: members.where(F.col("side") == s).select(F.col("cls").alias(c), F.col("key").alias(k)).distinct() for s, c, k in (("l", "a", "left_key"), ("r", "b", "right_key"))}
-    return scored.join(ids["l"], "a").join(ids["r"], "b").drop("a", "b")
+    covers = [(F.col(f"chain.{c}_words") / F.size(w)).alias(f"{c}_cover") for c, w in (("left", "wa"), ("right", "wb"))]
+    scored = both.select("ca", "cb", "shared", "union", F.col("chain.seeds").alias("seeds"), *covers)
+    ids = {s: members.where(F.col("side") == s).select(F.col("cls").alias(c), F.col("key").alias(k)).distinct() for s, c, k in (("l", "ca", "left_key"), ("r", "cb", "right_key"))}
+    return scored.join(ids["l"], "ca").join(ids["r"], "cb").drop("ca", "cb")
 
 
 def matching_answers(left: str, right: str) -> Column:
