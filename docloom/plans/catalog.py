@@ -223,6 +223,27 @@ def overloaded_gold(spark, d):
     return labels.overloaded(metrics.gold_frequency(train_labels(spark, d)))
 
 
+@query(f"""WITH {q.TRAIN}, {q.EVAL}, a AS (SELECT DISTINCT {q.question_key('question')} AS k FROM tq WHERE question IS NOT NULL), b AS (SELECT split, {q.question_key('question')} AS k FROM eq WHERE question IS NOT NULL)
+    SELECT split, count(*) AS questions, count_if(a.k IS NOT NULL)::BIGINT AS also_in_train FROM b LEFT JOIN a USING (k) GROUP BY split""")
+def exact_split_overlap(spark, d):
+    """Questions of each split that stand in train word for word; near copies are found by the overlap operator."""
+    train = labels.distinct_questions(table(spark, d, "train")).where("question is not null").select(tx.question_key(F.col("question")).alias("k")).distinct()
+    rows = asked(spark, d).select("split", tx.question_key(F.col("question")).alias("k")).join(train.withColumn("t", F.lit(True)), "k", "left")
+    return rows.groupBy("split").agg(F.count("*").alias("questions"), F.count("t").alias("also_in_train"))
+
+
+@query(f"WITH {q.TRAIN}, {q.EVAL} SELECT count(*) AS train, (SELECT count(*) FROM eq) AS others, (SELECT count(*) FROM (SELECT qid FROM tq INTERSECT SELECT qid FROM eq)) AS shared FROM tq")
+def shared_ids(spark, d):
+    a, b = (labels.distinct_questions(table(spark, d, t)).select("qid") for t in ("train", "eval_questions"))
+    shared = a.intersect(b).agg(F.count("*").alias("shared"))
+    return a.agg(F.count("*").alias("train")).join(F.broadcast(b.agg(F.count("*").alias("others")))).join(F.broadcast(shared))
+
+
+@query(f"WITH {q.CORPUS}, t AS (SELECT DISTINCT doc_id FROM corpus WHERE text = '') SELECT doc_id FROM t")
+def empty_documents(spark, d):
+    return clean(spark, d).where("text = ''").select("doc_id").distinct()
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 
