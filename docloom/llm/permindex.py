@@ -23,10 +23,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 from docloom.session import materialize
 
 PREFIX = 6
-#: Pivots: about twice the square root of the vectors, between these bounds, so files stay as large as they are.
+#: Pivots: about 1.2 times the square root of the vectors, between these bounds, so files stay as large as they are.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 #: Candidates of a vector and file that are reranked by cosine.
-RERANK = 64
+RERANK = 256
 #: Vectors in a file before it is divided, and in a block of what can't be.
 FILE = 1024
 
@@ -188,7 +188,7 @@ def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5
     members = materialize(rows.groupBy("id").agg(F.min("key").alias("key")), "members")
     alike = materialize(rows.groupBy("key").agg(F.min("embedding").alias("embedding")), "distinct")
     count = alike.count()
-    pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(4 * count)))
+    pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(3 * count // 2)))
     sample = alike.orderBy(F.xxhash64("key", F.lit(23)), "key").limit(pivots).select("embedding").toArrow()
     empty = "query binary, near binary, sim double"
     if count < PREFIX:
