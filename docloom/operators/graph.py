@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators.bm25 import rank_within
 from docloom.operators.components import connected_components
 
 # What tells an amendment from a citation, and how far before it.
@@ -115,9 +114,3 @@ def cited_by_question(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 def title_table(corpus: DataFrame) -> DataFrame:
     """Rows ``doc_id, title`` of documents whose head names their kind."""
     return corpus.select("doc_id", tx.title(F.col("text")).alias("title")).where("title is not null")
-
-
-def first_codes(corpus: DataFrame) -> DataFrame:
-    """Rows ``code, documents``: how many documents claim a code."""
-    rows = corpus.select("doc_id", tx.own_code(F.col("name"), F.col("text")).alias("code")).where("code is not null")
-    return rank_within(rows.groupBy("code").agg(F.count("*").alias("documents")), ["code"], [F.col("documents")], 1, "n").drop("n")

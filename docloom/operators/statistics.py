@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import chi_square_p
 from docloom.operators.bm25 import rank_within
+from docloom.session import materialize
 
 
 def paired_differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -23,8 +24,7 @@ def bootstrap_interval(diffs: DataFrame, resamples: int = 10_000, seed: int = 42
     """One row ``mean, low, high``: the mean difference and its 95 % interval by a Poisson bootstrap.
 
     Every question enters every resample with a Poisson(1) weight from a hash of question and resample, so resampling is
-    a sum by resample that is combined on the map side; nothing but ``resamples`` numbers is ever gathered. Differences
-    are counted by value first, which makes the work independent of the number of questions that share one."""
+    a sum by resample that is combined on the map side; nothing but ``resamples`` numbers is ever gathered."""
     weight = _poisson(F.pmod(F.xxhash64("qid", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
     rows = diffs.select("qid", "diff", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
     means = rows.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w")).alias("m")).where("m is not null")
@@ -90,8 +90,6 @@ def shard_bounds(rows: DataFrame, key: str, shards: int) -> DataFrame:
 
     Ranges of the keys are numbered by their sizes and then within, so no task orders all rows."""
     parts = rows.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    from docloom.session import materialize
-
     parts = materialize(parts, "ranges")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))

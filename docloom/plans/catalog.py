@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.tokens import Tokenizer
-from docloom.operators import bm25, chunking, corpus, cutoff, dense, excerpts, fusion, graph, labels, metrics, pooling, splits, statistics, tuning
+from docloom.operators import bm25, chunking, components, corpus, cutoff, dense, excerpts, fusion, graph, labels, metrics, pooling, splits, statistics, tuning
 from docloom.plans import sql as q
 from docloom.sources import readers
 
@@ -767,9 +767,7 @@ def graph_two_hops(spark, d):
 
 @query(f"""WITH RECURSIVE {_ANSWER_EDGES}, r(node, root) AS (SELECT DISTINCT s, s FROM e UNION SELECT e.t, r.root FROM r JOIN e ON e.s = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""")
 def connected_components(spark, d):
-    from docloom.operators.components import connected_components as components
-
-    return components(co_answered(spark, d), "src", "dst")
+    return components.connected_components(co_answered(spark, d), "src", "dst")
 
 
 @query(f"""WITH {q.LABELLED}, {_DUPLICATES}, t AS (SELECT DISTINCT qid, group_key FROM (SELECT qid, unnest(answer) AS doc_id FROM labelled) JOIN groups USING (doc_id)),

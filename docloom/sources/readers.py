@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import chunk_key, chunk_position, is_blank
+from docloom.operators.bm25 import rank_within
+from docloom.operators.pooling import pool_documents
 
 RAW_SCHEMA = "id string, name string, link string, passage string, text string, _corrupt string"
 
@@ -93,8 +95,6 @@ def require_labels(questions: DataFrame) -> DataFrame:
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``qid, rank, doc_id, score, chunk_id`` of one JSON object of ranked lists ``[doc, score, chunk]``; a document
     that comes again is dropped, and the ranks close up."""
-    from docloom.operators.bm25 import rank_within
-
     lists = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<array<string>>>")).alias("qid", "l"))
     rows = lists.select("qid", F.posexplode("l").alias("pos", "r")).select("qid", "pos", F.col("r")[0].alias("doc_id"), F.try_element_at("r", F.lit(2)).cast("double").alias("score"), F.try_element_at("r", F.lit(3)).alias("chunk_id"))
     first = rank_within(rows, ["qid", "doc_id"], [F.col("pos")], 1, "n").drop("n")
@@ -115,8 +115,6 @@ def log_fingerprints(spark: SparkSession, path: str, pattern: str = r"fingerprin
 def ranking_table(rows: DataFrame) -> DataFrame:
     """Rows ``qid, rank, doc_id, score, chunk_id`` of retrieval results: rows without document or with a score that is
     null or NaN are dropped, a document's best row stands for it, and ranks are given anew by score, then document."""
-    from docloom.operators.pooling import pool_documents
-
     known = rows.where(F.col("doc_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     return pool_documents(known.select("qid", "doc_id", "score", "chunk_id").distinct(), "max").select("qid", "rank", "doc_id", "score", "chunk_id")
 
@@ -124,3 +122,12 @@ def ranking_table(rows: DataFrame) -> DataFrame:
 def union_by_source(tables: dict[str, DataFrame]) -> DataFrame:
     """Tables under each other with their name as ``source``."""
     return reduce(DataFrame.unionByName, (t.withColumn("source", F.lit(n)) for n, t in tables.items()))
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of several paths that exists."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        if hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path)):
+            return path
+    raise FileNotFoundError(f"none of {paths}")

@@ -99,6 +99,18 @@ def test_citations(spark):
     assert graph.neighbours(edges, seeds, 2, ("cite",)).count() == 0
 
 
+def test_named_codes_and_reach(spark, tmp_path):
+    corpus = spark.createDataFrame([("1", "", "Số: 1/2020/TT-A THÔNG TƯ về thuế"), ("2", "", "theo 1/2020/TT-A"), ("3", "", "khác")], "doc_id string, name string, text string")
+    asked = spark.createDataFrame([("q", "Theo 1/2020/TT-A thì sao?"), ("r", None)], "qid string, question string")
+    assert [tuple(r) for r in graph.cited_by_question(asked, corpus).collect()] == [("q", "1")]
+    assert [tuple(r) for r in graph.title_table(corpus).collect()] == [("1", "1/2020/TT-A THÔNG TƯ về thuế")]
+    missed = spark.createDataFrame([("q", ["1"]), ("r", ["3"])], "qid string, answer array<string>")
+    ranking = spark.createDataFrame([("q", 1, "2"), ("r", 1, "2")], "qid string, rank int, doc_id string")
+    got = graph.reachable_gold(missed, ranking, graph.citation_edges(corpus)).collect()
+    assert {(r.qid, r.reachable) for r in got} == {("q", True), ("r", False)}
+    assert readers.first_existing(spark, [str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
+
+
 def test_split(spark):
     sizes = {f"g{i}": 1 + i % 4 for i in range(60)}
     parts = splits.fill(sizes, splits.SplitPlan(20, 5, 20))
