@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators.bm25 import rank_within
+from docloom.session import materialize
+
+#: Sets in a block of the exact comparison, words compared at once, and parts each side of the blocks is dealt to.
+SET_BLOCK, SET_WORDS, SET_PARTS = 2_000, 1_024, 16
 
 
 def clean_records(raw: DataFrame) -> DataFrame:
@@ -114,13 +122,23 @@ def with_titles(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("title").isNull() | there, F.col("text")).otherwise(F.concat_ws(" ", "title", "text"))).drop("title")
 
 
+def _question_words(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", "answer", F.array_distinct(F.filter(F.split(tx.question_key(F.col("question")), " "), lambda w: F.length(w) > 1)).alias("words"))
+
+
+def _gold_status(ga: str, gb: str) -> Column:
+    same = F.array_sort(F.array_distinct(ga)) == F.array_sort(F.array_distinct(gb))
+    return F.when(same, "AGREE").when(F.size(F.array_intersect(ga, gb)) > 0, "NESTED").otherwise("DISJOINT")
+
+
 def question_pairs(questions: DataFrame, threshold: float, frequent: float = 0.02, stop: tuple[str, ...] = (), block: int = 200) -> DataFrame:
     """Rows ``qid_a, qid_b, similarity, status`` of questions whose sets of words (longer than one character) share at
     least ``threshold`` of their union, found through rare words.
 
-    The rules of the blocks define the result: a word in more than ``frequent`` of the questions, a stop word, or a
-    block of more than ``block`` questions finds no pair. Status compares the gold documents: AGREE, NESTED, DISJOINT."""
-    rows = questions.select("qid", "answer", F.array_distinct(F.filter(F.split(tx.question_key(F.col("question")), " "), lambda w: F.length(w) > 1)).alias("words"))
+    A replica of the reference's lossy rule; ``all_question_pairs`` finds every pair. The rules of the blocks define the
+    result: a word in more than ``frequent`` of the questions, a stop word, or a block of more than ``block`` questions
+    finds no pair. Status compares the gold documents: AGREE, NESTED, DISJOINT."""
+    rows = _question_words(questions)
     words = rows.select("qid", F.explode("words").alias("word"))
     total = rows.count()
     sizes = words.groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") <= total * frequent) & F.col("df").between(2, block))
@@ -131,6 +149,65 @@ def question_pairs(questions: DataFrame, threshold: float, frequent: float = 0.0
     both = pairs.join(rows.select(F.col("qid").alias("qid_a"), F.col("words").alias("wa"), F.col("answer").alias("ga")), "qid_a")
     both = both.join(rows.select(F.col("qid").alias("qid_b"), F.col("words").alias("wb"), F.col("answer").alias("gb")), "qid_b")
     similarity = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    same = F.array_sort(F.array_distinct("ga")) == F.array_sort(F.array_distinct("gb"))
-    status = F.when(same, "AGREE").when(F.size(F.array_intersect("ga", "gb")) > 0, "NESTED").otherwise("DISJOINT")
-    return both.where(similarity >= threshold).select("qid_a", "qid_b", F.round(similarity, 3).alias("similarity"), status.alias("status"))
+    return both.where(similarity >= threshold).select("qid_a", "qid_b", F.round(similarity, 3).alias("similarity"), _gold_status("ga", "gb").alias("status"))
+
+
+def _shared_counts(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Common words of every set of one block (words ``a``, sizes ``n``) with every set of another (``b``, ``m``)."""
+    counts = np.zeros((len(n), len(m)), np.float32)
+    both = np.intersect1d(a, b)
+    for lo in range(0, len(both), SET_WORDS):
+        some = both[lo : lo + SET_WORDS]
+        marks = []
+        for words, sizes in ((a, n), (b, m)):
+            at = np.minimum(np.searchsorted(some, words), len(some) - 1)
+            held = some[at] == words
+            mark = np.zeros((len(sizes), len(some)), np.float32)
+            mark[np.repeat(np.arange(len(sizes)), sizes)[held], at[held]] = 1
+            marks.append(mark)
+        counts += marks[0] @ marks[1].T
+    return counts
+
+
+def _similar_sets(threshold: float):
+    """Function over pairs of blocks: rows ``x, y, similarity`` of their sets at ``threshold`` or above."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                k, l, ids, n, a, others, m, b = (c[row].as_py() if i < 2 else c[row].values.to_numpy() for i, c in enumerate(batch.columns))
+                shared = _shared_counts(a, b, n, m).astype(np.float64)
+                similarity = shared / (n[:, None] + m[None, :] - shared)
+                found = similarity >= threshold
+                x, y = np.nonzero(np.triu(found, 1) if k == l else found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(others[y]), pa.array(similarity[x, y])], ["x", "y", "similarity"])
+
+    return compare
+
+
+def all_question_pairs(questions: DataFrame, threshold: float) -> DataFrame:
+    """Rows ``qid_a, qid_b, similarity, status`` of all questions whose sets of words (longer than one character) share
+    at least ``threshold`` of their union, whatever the words; ``threshold`` is above 0.
+
+    Where nearly all words are frequent no filter on words leaves anything out, so all different sets are compared:
+    dealt into blocks of about ``SET_BLOCK``, every pair of blocks by products of their incidence matrices. The time is
+    quadratic in the number of different sets, as the result is; what is moved and held is a block. Equal sets are one
+    set. Questions without such a word are in no pair."""
+    rows = materialize(_question_words(questions).withColumn("set", F.md5(F.array_join(F.array_sort("words"), " "))), "questions").where("size(words) > 0")
+    sets = materialize(rows.groupBy("set").agg(F.any_value("words").alias("words")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    words = sets.select("id", F.explode("words").alias("word"))
+    numbers = materialize(words.select("word").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = words.join(numbers, "word").groupBy("id").agg(F.collect_list("number").alias("words"))
+    blocks = max(1, -(-sets.count() // SET_BLOCK))
+    held = numbered.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "words")).alias("sets"))
+    held = held.select("block", "sets.id", F.transform("sets", lambda s: F.size(s["words"]).cast("long")).alias("sizes"), F.flatten("sets.words").alias("words"))
+    held = materialize(held, "blocks").repartition(min(blocks, SET_PARTS), "block")
+    tiles = held.alias("a").hint("shuffle_replicate_nl").join(held.alias("b"), F.col("a.block") <= F.col("b.block"))
+    tiles = tiles.select("a.block", F.col("b.block").alias("other"), *(f"{s}.{c}" for s in "ab" for c in ("id", "sizes", "words"))).toDF("k", "l", "ids", "n", "a", "others", "m", "b")
+    found = materialize(tiles.mapInArrow(_similar_sets(threshold), "x long, y long, similarity double"), "similar")
+
+    members = materialize(rows.join(sets.select("set", "id"), "set").select("id", "qid", "answer"), "members")
+    a, b = (members.select(F.col("id").alias(x), F.col("qid").alias(f"q{x}"), F.col("answer").alias(f"g{x}")) for x in "xy")
+    equal = a.join(b, F.col("x") == F.col("y")).where("qx < qy").withColumn("similarity", F.lit(1.0))
+    both = found.join(a, "x").join(b, "y").unionByName(equal)
+    return both.select(F.least("qx", "qy").alias("qid_a"), F.greatest("qx", "qy").alias("qid_b"), F.round("similarity", 3).alias("similarity"), _gold_status("gx", "gy").alias("status"))

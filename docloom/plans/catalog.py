@@ -179,6 +179,14 @@ def near_duplicate_questions(spark, d):
     return corpus.question_pairs(train_labels(spark, d).where("question is not null"), 0.3)
 
 
+@query(f"""WITH {q.LABELLED}, n AS (SELECT qid, answer, list_distinct(list_filter(string_split({q.question_key('question')}, ' '), lambda w: length(w) > 1)) AS words FROM labelled WHERE question IS NOT NULL),
+    w AS (SELECT qid, unnest(words) AS word FROM n), p AS (SELECT x.qid AS qid_a, y.qid AS qid_b, count(*) AS i FROM w x JOIN w y USING (word) WHERE x.qid < y.qid GROUP BY ALL),
+    f AS (SELECT p.*, len(x.words) + len(y.words) - i AS u, list_sort(x.answer) AS ga, list_sort(y.answer) AS gb FROM p JOIN n x ON x.qid = qid_a JOIN n y ON y.qid = qid_b)
+    SELECT qid_a, qid_b, round(i / u, 3) AS similarity, CASE WHEN ga = gb THEN 'AGREE' WHEN len(list_intersect(ga, gb)) > 0 THEN 'NESTED' ELSE 'DISJOINT' END AS status FROM f WHERE i / u >= 0.3""")
+def all_near_duplicate_questions(spark, d):
+    return corpus.all_question_pairs(train_labels(spark, d).where("question is not null"), 0.3)
+
+
 @query(f"""WITH {q.TRAIN} SELECT coalesce(len(answer), 0)::INT AS answers, count(*) AS questions, least(coalesce(len(answer), 0), 5) / 5 AS ceiling FROM tq GROUP BY 1, 3""")
 def answer_counts(spark, d):
     return labels.answer_counts(labels.distinct_questions(table(spark, d, "train")))

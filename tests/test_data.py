@@ -1,11 +1,12 @@
 """Readers, sinks, graphs, splits, components and the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import dense, graph, labels, splits, statistics
+from docloom.operators import corpus, dense, graph, labels, splits, statistics
 from docloom.operators.components import connected_components
 from docloom.sources import readers, sinks
 from docloom.streaming.ingest import append_stream, clean_stream
@@ -158,3 +159,19 @@ def test_stream(spark, tmp_path):
     (source / "a.json").write_text('{"id": "1", "passage": "A  b", "fetched_at": "2024-01-01T00:00:00Z"}\n{"id": "1", "passage": "A  b", "fetched_at": "2024-01-01T00:00:00Z"}\n')
     append_stream(clean_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("1", "A b")]
+
+
+def test_pairs_of_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SET_BLOCK", 40)  # several blocks
+    monkeypatch.setattr(corpus, "SET_WORDS", 7)
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample([f"từ{k}" for k in range(30)], rng.randrange(1, 12))) for _ in range(220)] + ["hai câu giống hệt"] * 3 + ["a b c", "?", ""]
+    rows = [(f"q{i:03d}", t, [str(rng.randrange(3)), str(rng.randrange(3))]) for i, t in enumerate(texts)]
+    sets = {q: {w for w in t.split() if len(w) > 1} for q, t, _ in rows}
+    expected = {(x, y) for x in sets for y in sets if x < y and sets[x] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.3}
+    df = spark.createDataFrame(rows, "qid string, question string, answer array<string>")
+    got = corpus.all_question_pairs(df, 0.3).collect()
+    assert sorted((r.qid_a, r.qid_b) for r in got) == sorted(expected)
+    assert {r.similarity for r in got if r.qid_a > "q219"} == {1.0}
+    assert len({(r.qid_a, r.qid_b) for r in corpus.question_pairs(df, 0.3).collect()}) < len(expected)  # the lossy rule
+    assert corpus.all_question_pairs(df.where("false"), 0.3).count() == 0
