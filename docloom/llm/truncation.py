@@ -1,6 +1,6 @@
 """Texts cut off by a field limit or a broken transfer.
 
-From all texts the operator counts words and line openings. The words that occur often enough are the vocabulary, kept
+From all different texts the operator counts words and line openings; copies of a text count once. The words that occur often enough are the vocabulary, kept
 as a trie in relational form: one row for every proper prefix of a known word. The ending of every text is then judged:
 
 * a final token that is no known word but a proper prefix of known words stops within a word;
@@ -160,14 +160,15 @@ def endings(texts: pa.Array) -> pa.Array:
 def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Rows ``key, source, truncated, within_word, at_limit, stamped`` for every row with a text.
 
-    The counts that cross the network are combined within tasks; the vocabulary, its prefixes, limits and stamps are
+    Everything is counted over different texts, so copies tell nothing about a word, an opening, a limit or a stamp. A
+    task keeps one copy of a text before texts are moved; counts are combined within tasks too. The vocabulary, its prefixes, limits and stamps are
     tables joined by their keys, never sent to the driver. The endings are judged on the whole text's lengths and its
     last line.
 
     Null, empty and blank texts are left out; a null source is a source of its own; repeated rows each give a row; an
     empty table gives none; other columns are ignored, whatever their names."""
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    texts = rows.where("text is not null").select("text")
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("cls"))
+    texts = rows.where("text is not null").groupBy("cls").agg(F.any_value("text").alias("text")).select("text")
     counts = texts.mapInArrow(_count, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
     known = counts.where((F.col("kind") == "word") & (F.col("n") >= KNOWN)).select("name")
@@ -180,19 +181,19 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     mostly = F.col("last") >= CLOSING_SHARE * F.col("seen")
     kinds = kinds.select(F.col("name").alias("opening"), (mostly & (F.col("last") >= CLOSING_LINES)).alias("closing"), (~mostly).alias("running"))
 
-    judged = rows.select("key", F.coalesce("source", F.lit("")).alias("s"), "source", endings("text").alias("e"), F.monotonically_increasing_id().alias("row"))
+    judged = rows.select("key", F.coalesce("source", F.lit("")).alias("s"), "source", "cls", endings("text").alias("e"), F.monotonically_increasing_id().alias("row"))
     # written before it is filtered: a filter on a function's result would run the function twice
-    judged = materialize(judged, "endings").where("e is not null").select("row", "key", "s", "source", "e.*")
+    judged = materialize(judged, "endings").where("e is not null").select("row", "key", "s", "source", "cls", "e.*")
 
-    measured = judged.where("open").select("s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("m")).select("s", "m.*")
+    measured = judged.where("open").select("s", "cls", "chars", "bytes").distinct().select("s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("m")).select("s", "m.*")
     totals = measured.where("unit = 'chars'").groupBy("s").agg(F.count("*").alias("of"))
     limits = measured.groupBy("s", "unit", "size").count().join(totals, "s").where((F.col("count") >= LIMIT_TEXTS) & (F.col("count") >= LIMIT_SHARE * F.col("of"))).select("s", "unit", "size")
     limits = materialize(limits, "limits")
     by_chars = limits.where("unit = 'chars'").select("s", F.col("size").alias("chars"), F.lit(True).alias("char_limit"))
     by_bytes = limits.where("unit = 'bytes'").select("s", F.col("size").alias("bytes"), F.lit(True).alias("byte_limit"))
 
-    tails = judged.where("not open").select("row", "s", F.explode("tails").alias("t")).select("row", "s", "t.*")
-    behind = tails.join(by_chars, ["s", "chars"], "left").join(by_bytes, ["s", "bytes"], "left")
+    tails = judged.where("not open").select("row", "s", "cls", F.explode("tails").alias("t")).select("row", "s", "cls", "t.*")
+    behind = tails.drop("row").distinct().join(by_chars, ["s", "chars"], "left").join(by_bytes, ["s", "bytes"], "left")
     at = F.count_if(F.coalesce("char_limit", "byte_limit", F.lit(False)))
     stamps = behind.groupBy("tail").agg(at.alias("at"), F.count("*").alias("all")).where((F.col("at") >= STAMP_TEXTS) & (F.col("at") >= STAMP_SHARE * F.col("all"))).select("tail")
     stamped = tails.join(stamps, "tail", "left_semi").select("row", F.lit(True).alias("stamped")).distinct()

@@ -213,3 +213,20 @@ def test_truncated(spark):
     assert {r.doc_id for r in found.where("within_word").collect()} >= {200}
     assert {r.source: (r.texts, r.truncated) for r in truncation.shares_by_source(found, "source").collect()} == {"a": (40, 0), "b": (10, 10), "c": (4, 2), None: (1, 0)}
     assert truncation.truncated_texts(df.where("false"), "doc_id", "text", "source").count() == 0
+
+
+def found_truncated(spark, rows):
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+    return {r.doc_id for r in truncation.truncated_texts(df, "doc_id", "text", "source").where("truncated").collect()}
+
+
+def test_copies_tell_nothing(spark):
+    whole = [(i, t) for i, t, s in truncated_corpus() if s == "a"]
+    cut = "Câu đầu.\nBiên soạn lại toàn bộ văn bản theo quyết định"
+    other = "Câu khác.\nBiên soạn lại hồ sơ nghiệm thu theo văn bản"
+    assert found_truncated(spark, [*whole, (900, cut), (901, other.replace("Biên soạn", "Kính gửi"))]) == {900, 901}
+    assert found_truncated(spark, [*whole, *((900 + k, cut) for k in range(2))]) == {900, 901}
+    hot = [(1000 + k, cut) for k in range(30)]  # a third of all rows
+    assert found_truncated(spark, [*whole, *hot]) == {i for i, _ in hot}
+    title = "Thông báo về việc nghiệm thu"
+    assert found_truncated(spark, [*whole, *((900 + k, title) for k in range(4))]) == set()  # no field limit
