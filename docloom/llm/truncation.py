@@ -1,9 +1,11 @@
 """Texts cut off by a field limit or a broken transfer.
 
-From all different texts the operator counts words and line openings; copies of a text count once. The words that occur often enough are the vocabulary, kept
-as a trie in relational form: one row for every proper prefix of a known word. The ending of every text is then judged:
+From all different texts the operator counts words and line openings; copies of a text count once. The words
+used inside texts are the vocabulary, kept as a trie in relational form: one row for every proper prefix of a word that
+has the length of some text's final token. The ending of every text is then judged:
 
-* a final token that is no known word but a proper prefix of known words stops within a word;
+* a final token that begins longer words far more often than it is used as a word itself, and ends texts more often than
+  that use explains, stops within a word (shares, so they hold at any size);
 * an ending without closing punctuation stops within a sentence, unless its last line is of a kind that mostly closes
   texts (signatures, page numbers, enclosures; told from the corpus by how its first words are used elsewhere) or the
   text is one line without any sentence (a title) that doesn't begin as running text does;
@@ -26,8 +28,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from docloom.llm.transducer import INVISIBLE, one_form
 from docloom.session import materialize
 
-#: Occurrences that make a token a known word.
-KNOWN = 5
+#: A fragment's uses inside texts are at most this share of those of the longer words it begins; the longer words are
+#: used so many times as often as it ends a text; and it ends texts so many times as often as its uses inside explain.
+INSIDE_SHARE, EXTENDED, OFTEN_LAST = 0.01, 5, 4
 #: A field limit holds this share of the source's unclosed texts, and this many.
 LIMIT_SHARE, LIMIT_TEXTS = 0.04, 3
 #: A stamp occurs this often behind a limit, and this share of its endings is there.
@@ -171,8 +174,6 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     texts = rows.where("text is not null").groupBy("cls").agg(F.any_value("text").alias("text")).select("text")
     counts = texts.mapInArrow(_count, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
-    known = counts.where((F.col("kind") == "word") & (F.col("n") >= KNOWN)).select("name")
-    trie = _prefixes(known.select("name")).distinct()
     last = F.sum(F.when(F.col("kind") == "last", F.col("n")).otherwise(0))
     lines = materialize(counts.where("kind <> 'word'").groupBy("name").agg(last.alias("last"), F.sum("n").alias("all")), "openings")
     # a line cut within its opening would look like a kind of its own that only ends texts
@@ -185,6 +186,7 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     # written before it is filtered: a filter on a function's result would run the function twice
     judged = materialize(judged, "endings").where("e is not null").select("row", "key", "s", "source", "cls", "e.*")
 
+    fragments = _fragments(counts.where("kind = 'word'").select("name", "n"), judged.select("cls", "token", "open").distinct())
     measured = judged.where("open").select("s", "cls", "chars", "bytes").distinct().select("s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("m")).select("s", "m.*")
     totals = measured.where("unit = 'chars'").groupBy("s").agg(F.count("*").alias("of"))
     limits = measured.groupBy("s", "unit", "size").count().join(totals, "s").where((F.col("count") >= LIMIT_TEXTS) & (F.col("count") >= LIMIT_SHARE * F.col("of"))).select("s", "unit", "size")
@@ -200,8 +202,8 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
 
     doubtful = judged.where("open or omitted or broken")
     doubtful = doubtful.join(kinds, "opening", "left").join(by_chars, ["s", "chars"], "left").join(by_bytes, ["s", "bytes"], "left")
-    doubtful = doubtful.join(known.select(F.col("name").alias("token"), F.lit(True).alias("known")), "token", "left").join(trie.withColumn("prefix", F.lit(True)), "token", "left")
-    within = F.col("open") & F.col("known").isNull() & F.coalesce("prefix", F.lit(False))
+    doubtful = doubtful.join(fragments.withColumn("fragment", F.lit(True)), "token", "left")
+    within = F.col("open") & F.coalesce("fragment", F.lit(False))
     limit = F.coalesce("char_limit", "byte_limit", F.lit(False))
     closing, running = (F.coalesce(c, F.lit(False)) for c in ("closing", "running"))
     closed = closing | (F.col("title") & ~limit & ~running)
@@ -213,6 +215,25 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     return out.select(F.col("key").alias(key), F.col("source").alias(source), truncated.alias("truncated"), *flags)
 
 
+def _fragments(words: DataFrame, finals: DataFrame) -> DataFrame:
+    """Rows ``token`` of final tokens that are beginnings of words, from the uses ``n`` of every ``name`` in all texts and
+    a row ``token, open`` for every text. A text's own final token isn't a use inside texts."""
+    ends = materialize(finals.where("token is not null").groupBy("token").agg(F.count("*").alias("finals"), F.count_if("open").alias("ends")), "finals")
+    inside = words.join(ends, words["name"] == ends["token"], "left").select("name", (F.col("n") - F.coalesce("finals", F.lit(0))).alias("n")).where("n > 0")
+    inside = materialize(inside, "inside")
+    ends = ends.where("ends > 0").select("token", "ends")
+    # only prefixes as long as some final token: one row of lengths, each of another token
+    lengths = ends.agg(F.collect_set(F.length("token")).alias("lengths"))
+    longer = inside.crossJoin(F.broadcast(lengths)).select("n", "name", F.explode(F.filter("lengths", lambda k: k < F.length("name"))).alias("k"))
+    longer = longer.groupBy(F.substring(F.col("name"), F.lit(1), F.col("k")).alias("token")).agg(F.sum("n").alias("longer"))
+    totals = inside.agg(F.sum("n").alias("tokens")).crossJoin(ends.agg(F.sum("ends").alias("open_ends")))
+    used = ends.join(longer, "token").join(inside.withColumnRenamed("name", "token"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = F.col("n") <= INSIDE_SHARE * F.col("longer")
+    extended = F.col("longer") >= EXTENDED * F.col("ends")
+    often_last = F.col("ends") * F.col("tokens") >= OFTEN_LAST * F.col("n") * F.col("open_ends")
+    return used.crossJoin(F.broadcast(totals)).where(rare & extended & often_last).select("token")
+
+
 def _prefixes(names: DataFrame) -> DataFrame:
     """The inner nodes of a trie: a row ``token`` for every proper prefix of every ``name``, with its other columns."""
     lengths = F.sequence(F.lit(1), F.length("name") - 1)

@@ -230,3 +230,11 @@ def test_copies_tell_nothing(spark):
     assert found_truncated(spark, [*whole, *hot]) == {i for i, _ in hot}
     title = "Thông báo về việc nghiệm thu"
     assert found_truncated(spark, [*whole, *((900 + k, title) for k in range(4))]) == set()  # no field limit
+
+
+def test_recurring_fragments_are_no_words(spark):
+    line = "Câu về công trình và quy trình của phòng thử số"
+    whole = [(i, f"{line} {i}. {line} {i}. Nội dung {'đăng ký quy trình' if i % 3 else 'thông báo'}.") for i in range(120)]
+    cut = [(900 + i, f"Thông báo {i} về việc nghiệm thu công trì") for i in range(8)]  # titles, each another text
+    kept = [(950 + i, f"Thông báo {i} về việc đăng ký quy trình") for i in range(8)]
+    assert found_truncated(spark, [*whole, *cut, *kept]) == {i for i, _ in cut}
