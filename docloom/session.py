@@ -63,24 +63,41 @@ def build_session(master: str = "local[*]", app: str = "docloom", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read. Only where the session names none, a temporary one is used (local runs)."""
+    """The folder every executor can read. Where the session names none, a local run gets a temporary one; on a cluster
+    that is an error, as every executor would write to a disk of its own."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
     return context.getCheckpointDir().get().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here, and the files outlive any
-    executor. Spark removes them when the application ends."""
+    executor. The jobs that this takes run at once, while the caller's plan is still being built. The files are removed
+    by ``discard``, at the latest when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.materialized_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that no later plan reads; what ``materialize`` returned, not a frame made of it."""
+    for table in tables:
+        files, where = _file_system(table.sparkSession, table.materialized_at)
+        files.delete(where, True)

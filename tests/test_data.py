@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import corpus, dense, graph, labels, splits, statistics
 from docloom.operators.components import connected_components
+from docloom.session import discard, materialize, shared_dir
 from docloom.sources import readers, sinks
 from docloom.streaming.ingest import append_stream, clean_stream
 
@@ -91,6 +92,60 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_components_of_random_graphs(spark, coalesce):
+    rng = random.Random(7)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000, i) for i in range(1001, 1200)] + [(None, 1), (5, None), (6, 6)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        named = [(None if a is None else f"n{a:05d}", None if b is None else f"n{b:05d}") for a, b in edges]
+        got = connected_components(spark.createDataFrame(named, "a string, b string"), "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.component for r in got} == {f"n{x:05d}": f"n{find(x):05d}" for x in parent} and len(got) == len(parent)
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    table = materialize(spark.range(3))
+    assert table.count() == 3
+    discard(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.materialized_at).count()
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(_Cluster)
+
+
+class _Cluster:
+    """A session on a cluster whose settings name no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda *_: None)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: _Cluster.conf)
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    return self
+
+                def isEmpty(self):
+                    return True
+
+
 def test_citations(spark):
     rows = [("1", "", "Số: 1/2020/TT-A nội dung"), ("2", "", "Số: 2/2020/TT-A. Căn cứ 1/2020/TT-A. Bãi bỏ 1/2020/TT-A và 9/2020/TT-A, 2/2020/TT-A"), ("3", "", "theo 2/2020/TT-A"), ("4", "", None)]
     edges = graph.citation_edges(spark.createDataFrame(rows, "doc_id string, name string, text string"))
