@@ -58,10 +58,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row a record: its group and the group's size."""
-    groups, _ = _record_groups(spark, d)
+    """One row a record: its group, the group's size, and of the record's links their number, how many the alignment
+    proves, and the least edit similarity."""
+    groups, links = _record_groups(spark, d)
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min("key").alias("group_key"))
-    return groups.join(sizes, "group_id").select(F.col("key").alias("id"), "group_key", "group_size")
+    ends = links.select(F.explode(F.array("x", "y")).alias("class_id"), "aligned", "edit_similarity").groupBy("class_id")
+    ends = ends.agg(F.count("*").alias("links"), F.count_if("aligned").alias("aligned_links"), F.round(F.min("edit_similarity"), 6).alias("least_edit_similarity"))
+    rows = groups.join(sizes, "group_id").join(ends, "class_id", "left").fillna(0, ["links", "aligned_links"])
+    return rows.select(F.col("key").alias("id"), "group_key", "group_size", "links", "aligned_links", "least_edit_similarity")
 
 
 # --- problem 3 ---------------------------------------------------------------------------------------------------

@@ -100,12 +100,15 @@ def brute_groups(rows, threshold=0.5):
     return {(y, x) for i, x in enumerate(keys) for y in keys[:i] if find(x) == find(y)}
 
 
-@pytest.mark.parametrize("bucket", [2, 50])
-def test_groups_equal_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(neardup, "BUCKET", bucket)
+@pytest.mark.parametrize(("tile", "divided"), [(4096, 1 << 16), (3, 1 << 16), (3, 6)])
+def test_groups_equal_brute_force(spark, monkeypatch, tile, divided):
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "DIVIDED", divided)
     rng = random.Random(3)
     rows = []
-    for i, s in enumerate(sentences(2, 30, 120)):
+    head = sentences(9, 1, 40)[0]  # what many records share without being linked
+    for i, s in enumerate(sentences(2, 40, 120)):
+        s = [*head, *s] if i % 2 else s
         rows.append((i * 10, " ".join(s)))
         for j in range(1, rng.randrange(5)):
             s = list(s)
@@ -116,7 +119,53 @@ def test_groups_equal_brute_force(spark, monkeypatch, bucket):
             rows.append((i * 10 + j, " ".join(s)))
     groups, links = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
     assert {tuple(r) for r in neardup.group_pairs(groups).collect()} == brute_groups(rows)
-    assert links.where("similarity < 0.5").count() == 0
+    assert links.where("edit_similarity > 1 or order_share > 1").count() == 0
+
+
+def jaccard(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_reordered_records_are_found(spark):
+    """Sentences in reverse, and shuffled blocks, at similarities from 0.5 to 0.75: no link may be lost."""
+    rng = random.Random(11)
+    rows, pairs = [], {}
+    for i in range(240):
+        parts = [[f"t{rng.randrange(3000)}" for _ in range(8 if i % 2 else 12)] for _ in range(30 if i % 2 else 18)]
+        other = [list(p) for p in parts]
+        for _ in range(rng.randrange(0, 20)):
+            p = rng.choice(other)
+            p[rng.randrange(len(p))] = f"s{rng.randrange(3000)}"
+        other = other[::-1] if i % 3 else rng.sample(other, len(other))
+        a, b = (" ".join(w for p in x for w in p) for x in (parts, other))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        pairs[(2 * i, 2 * i + 1)] = jaccard(a, b)
+    wanted = {p for p, j in pairs.items() if 0.5 <= j <= 0.75}
+    assert len(wanted) > 100
+    groups, links = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    found = {tuple(r) for r in neardup.group_pairs(groups).collect()}
+    assert len(wanted & found) >= 0.99 * len(wanted) and found == brute_groups(rows)
+    assert links.where("not aligned").count() > 0.5 * links.count()  # sets decide these
+    assert links.agg(F.avg("order_share")).first()[0] < 0.5
+
+
+def test_sketches_meet_whatever_the_order():
+    """The chance that two records at a similarity of about one half agree on no sketch, by simulation."""
+    rng = np.random.default_rng(5)
+    agreed = []
+    for _ in range(400):
+        shared, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (200, 100, 100))
+        x, _ = neardup.order_min_hash(np.concatenate([shared, a]))
+        y, _ = neardup.order_min_hash(np.concatenate([b, rng.permutation(shared)]))
+        agreed.append(int(((x ^ y) <= 1).sum()))
+    assert min(agreed) > 1 and np.mean(agreed) == pytest.approx(neardup.SKETCHES / 4, rel=0.1)
+
+
+def test_few_kmers_meet(spark):
+    rows = [(1, "a b c"), (2, "a b c d"), (3, "x y z w"), (4, "y z w v"), (5, "p q r s t"), (6, "q r s t u")]
+    groups, _ = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert {tuple(r) for r in neardup.group_pairs(groups).collect()} == brute_groups(rows) == {(1, 2), (5, 6)}
 
 
 def test_near_duplicate_cases(spark):
@@ -133,22 +182,40 @@ def test_many_copies(spark):
     rows = [(i, "một văn bản được giao lại rất nhiều lần") for i in range(300)] + [(1000 + i, f"khác hẳn số {i} với từ{i} chữ{i} câu{i}") for i in range(50)]
     groups, links = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
     assert groups.groupBy("group_id").count().agg(F.max("count")).first()[0] == 300 and links.count() == 0
+    assert groups.where("key < 1000").select("class_id").distinct().count() == 1
+
 
+def test_banded_alignment_is_exact():
+    """The longest common subsequence of labelled k-mers, against the plain recurrence."""
 
-def test_edit_similarity_is_exact():
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, last = [0], row
+            for j, y in enumerate(b):
+                row.append(max(row[-1], last[j + 1], last[j] + (x == y)))
         return row[-1]
 
     rng = random.Random(1)
-    for _ in range(60):
-        a, b = ([rng.choice("abc") for _ in range(rng.randrange(90))] for _ in range(2))
-        expected = 1 - edit(a, b) / max(len(a), len(b)) if a and b else float(a == b)
-        assert neardup._edit_similarity(a, b) == pytest.approx(expected)
+    for n in (5, 60, 300):
+        for _ in range(12):
+            a = [rng.choice("abcd") for _ in range(n)]
+            b = [rng.choice("abcd") if rng.random() < 0.1 else x for x in a]
+            b = b[n // 3 :] + b[: n // 3] if rng.random() < 0.4 else b[: rng.randrange(3, n + 1)]
+            x, y = (neardup.labelled(neardup.rolling_hashes(neardup.word_hashes(w), 3))[0] for w in (a, b))
+            chain = neardup.banded_alignment(x, y)
+            assert len(chain) == common(x.tolist(), y.tolist()) and all(x[i] == y[j] for i, j in chain)
+            assert all(p < q and r < t for (p, r), (q, t) in zip(chain, chain[1:]))
+
+
+def test_verification():
+    a = [f"w{i}" for i in range(100)]
+    edited = a[:50] + ["mới"] + a[51:]
+    assert neardup.verify_pair(a, edited, 0.5)[:2] == (True, True)
+    assert neardup.verify_pair(a, a[50:] + a[:50], 0.5, ordered=False)[:2] == (True, False)
+    assert neardup.verify_pair(a, a[:40] + [f"z{i}" for i in range(60)], 0.5)[0] is False
+    repeated = "x y z ".split() * 40
+    assert neardup.verify_pair(repeated, "x y z q r s t".split(), 0.5)[0] is False
 
 
 def test_records_equal_brute_force(spark, folder, duck):
