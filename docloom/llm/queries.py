@@ -32,15 +32,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per split and source: questions, those that stand in train, pairs, and the mean coverage of the best pair."""
+    """Per split and source: questions, those that stand in train, pairs, pairs that the chained seeds prove, and the mean
+    coverage of the best pair."""
     found = _question_overlaps(spark, d)
-    best = found.groupBy("left_key").agg(F.count("*").alias("pairs"), F.max("left_cover").alias("cover"))
+    best = found.groupBy("left_key").agg(F.count("*").alias("pairs"), F.count_if("chained").alias("chained"), F.max("left_cover").alias("cover"))
     evals = _table(spark, d, "eval_questions").groupBy("qid", "split", "source").count().drop("count")
     rows = evals.join(best.withColumnRenamed("left_key", "qid"), "qid", "left").groupBy("split", "source")
     return rows.agg(
         F.count("*").alias("questions"),
         F.count("pairs").alias("overlapping"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum("chained"), F.lit(0)).alias("chained"),
         F.round(F.avg("cover"), 4).alias("mean_cover"),
     )
 

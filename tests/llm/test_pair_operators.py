@@ -54,17 +54,62 @@ def test_overlap_cases(spark):
     assert [r.m for r in lists.select(overlap.matching_answers("x", "y").alias("m")).collect()] == [True, False, True, True, False]
 
 
+def winnowed(runs, keys=None):
+    return overlap.winnow(runs if keys is None else keys, np.array([0, len(runs)]), np.array([len(runs)]))
+
+
 def test_winnowing_keeps_shared_runs():
     rng = np.random.default_rng(1)
-    level = np.zeros(1 << 16, np.uint8)
     for _ in range(50):
-        run = rng.integers(0, 2**63, 5 + overlap.WINDOW, dtype=np.uint64)
+        run = rng.integers(0, 2**63, overlap.WINDOW, dtype=np.uint64)
         a = np.concatenate([rng.integers(0, 2**63, 9, dtype=np.uint64), run])
         b = np.concatenate([run, rng.integers(0, 2**63, 9, dtype=np.uint64)])
-        picked = [set(x[overlap.winnow(x, level[(x >> np.uint64(48)).astype(int)])].tolist()) for x in (a, b)]
+        picked = [set(x[winnowed(x)].tolist()) for x in (a, b)]
         assert picked[0] & picked[1]
 
 
+def test_winnowing_a_batch_is_winnowing_its_texts():
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 4, 5, 40, 1, 7]
+    runs = rng.integers(0, 6, sum(sizes), dtype=np.uint64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    expected = []
+    for lo, n in zip(offsets, sizes):
+        part = runs[lo : lo + n].tolist()
+        w = min(n, overlap.WINDOW)
+        expected += sorted({lo + max(range(i, i + w), key=lambda j: (-part[j], j)) for i in range(n - w + 1)})
+    assert overlap.winnow(runs, offsets, np.array(sizes)).tolist() == expected
+
+
+def test_chain_and_extension():
+    a = [f"w{i}" for i in range(30)]
+    b = a[:12] + ["x"] + a[13:]
+    n, in_a, in_b = overlap.chain_and_extend(a, b, [(2, 2), (15, 15), (20, 20), (24, 3)])
+    assert n == 3 and in_a.sum() == in_b.sum() == 29 and not in_a[12]
+    got = overlap.verify_pair(a, b, [(2, 2), (15, 15)], 2, 3)
+    assert got["found"] and got["chained"] and (got["shared"], got["union"]) == (29, 31)
+    alone = overlap.verify_pair(a, b, [(2, 2)], 2, 3)  # what one seed covers proves nothing, so the sets decide
+    assert alone["found"] and not alone["chained"] and alone["left_words"] == 12
+    assert not overlap.verify_pair(a, a[:10] + [f"z{i}" for i in range(20)], [(0, 0)], 2, 3)["found"]
+
+
+def test_hot_fingerprints_are_dealt(spark, monkeypatch):
+    """Many texts with a common run on both sides, in tiles of three, and all words shuffled in some."""
+    monkeypatch.setattr(overlap, "TILE", 3)
+    rng = random.Random(4)
+    head = [f"h{i}" for i in range(12)]
+    base = [[*head, *s] for s in sentences(6, 40, 28, 900)]
+    train = [(f"t{i}", " ".join(s)) for i, s in enumerate(base)]
+    evals = [(f"e{i}", " ".join(rng.sample(s, len(s)) if i % 3 == 0 else s[: 40 - i % 9])) for i, s in enumerate(base)]
+    schema = "qid string, question string"
+    got = overlap.overlapping_records(spark.createDataFrame(evals, schema), spark.createDataFrame(train, schema), "qid", "qid", "question").collect()
+    a, b = sets(evals), sets(train)
+    expected = {(x, y) for x, s in a.items() for y, t in b.items() if 3 * len(s & t) >= 2 * len(s | t)}
+    assert {(r.left_key, r.right_key) for r in got} == expected and len(got) == len(expected) >= 40
+    assert {r.left_key for r in got if not r.chained} >= {f"e{i}" for i in range(0, 40, 3)}
+    assert all(r.chained and r.seeds and r.left_cover == 1 for r in got if int(r.left_key[1:]) % 3)
+
+
 def test_questions_equal_brute_force(spark, folder, duck):
     t = duck.sql("SELECT DISTINCT qid, question, answer FROM train WHERE question IS NOT NULL").fetchall()
     e = duck.sql("SELECT DISTINCT qid, question, answer FROM eval_questions WHERE question IS NOT NULL").fetchall()
