@@ -1,10 +1,10 @@
 """The most similar vectors of every vector, by a permutation index.
 
-A bounded sample of vectors serves as pivots. A vector is represented by its ``PREFIX`` nearest pivots in order, and
-posted in the inverted files of all pairs of them: two similar vectors order the pivots alike and so meet in some file.
-Within a file a vector's candidates are ranked by the footrule distance of their orders, and the nearest ``RERANK`` are
-reranked by their exact cosine. Every vector is indexed; a file that grows too large is divided by a further pivot, and
-what is too large then is compared in blocks, so no file is cut short.
+A bounded sample of vectors serves as pivots. A vector is represented by its ``ORDER`` nearest pivots in order, and posted
+in the inverted files of all pairs of its ``POSTED`` nearest: two similar vectors order the pivots alike and so meet in
+some file. Candidates are ranked by the footrule distance of their orders, and those near enough are reranked by their
+exact cosine. How near that is, is measured on pairs made from the pivots at just the least cosine wanted, so nothing is
+cut by number: not files, not candidates. Only identifiers and orders are posted; vectors are fetched for candidates.
 """
 
 from __future__ import annotations
@@ -12,25 +12,27 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, ShortType
 
-from docloom.session import materialize
+from docloom.llm.tiles import meetings, whole_tiles
+from docloom.session import discard, materialize
 
-PREFIX = 6
-#: Pivots: about 1.2 times the square root of the vectors, between these bounds, so files stay as large as they are.
+#: Nearest pivots in a vector's order, and of them those whose pairs it is posted under.
+ORDER, POSTED = 24, 7
+#: Pivots: about twice the square root of the vectors, between these bounds, so files stay as large as they are.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
-#: Candidates of a vector and file that are reranked by cosine.
-RERANK = 256
-#: Vectors in a file before it is divided, and in a block of what can't be.
-FILE = 1024
-
-_PAIRS = list(itertools.combinations(range(PREFIX), 2))
+#: The share of pairs at just the least cosine whose footrule distance counts as near.
+NEAR = 0.995
+#: Vectors of a file that are compared at once.
+TILE = 4096
+_MADE = 16  # pairs made from each pivot
 
 
 def _vector_keys(dim: int):
@@ -58,120 +60,104 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivots of each vector, nearest first, the smaller number of equally near ones."""
+    near = vectors @ pivots.T
+    k = min(ORDER, len(pivots))
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    order = np.lexsort((top, -np.take_along_axis(near, top, 1)), axis=1)
+    return np.take_along_axis(top, order, 1).astype(np.int16)
+
+
 def _permutations(pivots: np.ndarray):
-    """Column function: the nearest pivots of each vector, nearest first."""
+    """Column function: the order of each vector."""
 
-    @F.arrow_udf(ArrayType(IntegerType()))
+    @F.arrow_udf(ArrayType(ShortType()))
     def nearest(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
-            return pa.array([], pa.list_(pa.int32()))
-        near = _matrix(vectors, pivots.shape[1]) @ pivots.T
-        k = min(PREFIX, pivots.shape[0])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        order = np.lexsort((top, -np.take_along_axis(near, top, 1)), axis=1)
-        found = np.take_along_axis(top, order, 1).astype(np.int32)
-        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * k, found.ravel())
+            return pa.array([], pa.list_(pa.int16()))
+        found = _orders(_matrix(vectors, pivots.shape[1]), pivots)
+        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())
 
     return nearest
 
 
-def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Footrule distances of all rows of ``a`` and ``b`` (orders of pivots): summed differences in rank, where a pivot
-    that an order doesn't hold ranks behind its last."""
-    k = a.shape[1]
-    pivots, local = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
-    ranks = np.full((len(a) + len(b), len(pivots)), k, np.int8)
-    np.put_along_axis(ranks, local.reshape(-1, k), np.arange(k, dtype=np.int8), 1)
-    x, y = ranks[: len(a)], ranks[len(a) :]
-    out = np.zeros((len(a), len(b)), np.int16)
-    for p in range(len(pivots)):
-        out += np.abs(x[:, p, None] - y[None, :, p])
+def _weights(orders: np.ndarray, pivots: int) -> np.ndarray:
+    """For every order how far each pivot stands before its end; 0 for pivots that it doesn't hold."""
+    k = orders.shape[1]
+    out = np.zeros((len(orders), pivots), np.int8)
+    np.put_along_axis(out, orders.astype(np.int64), np.arange(k, 0, -1, dtype=np.int8)[None, :].repeat(len(orders), 0), 1)
     return out
 
 
-def _search_files(dim: int, k: int, least: float):
-    """For mapInArrow over rows sorted by file: each vector's best in its file."""
-    schema = pa.schema([("query", pa.binary()), ("near", pa.binary()), ("sim", pa.float64())])
-
-    def best(rows: pa.Table) -> pa.RecordBatch | None:
-        role = rows["role"].to_numpy()
-        queries, targets = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-        if len(rows) < 2 or not len(queries) or not len(targets):
-            return None
-        ids = rows["key"].to_pylist()
-        x = _matrix(rows["embedding"].combine_chunks(), dim)
-        orders = rows["perm"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-        found: tuple[list, list, list] = ([], [], [])
-        for lo in range(0, len(queries), 256):
-            q = queries[lo : lo + 256]
-            keep = None
-            if len(targets) > RERANK + 1:
-                distance = footrule(orders[q], orders[targets])
-                keep = np.argpartition(distance, RERANK, axis=1)[:, : RERANK + 1]
-            sims = x[q] @ x[targets].T
-            sims[q[:, None] == targets[None, :]] = -2
-            if keep is not None:
-                masked = np.full_like(sims, -2)
-                np.put_along_axis(masked, keep, np.take_along_axis(sims, keep, 1), 1)
-                sims = masked
-            if len(targets) > k:
-                # everything tied with the k-th stays: the tie is settled by the ids of all copies
-                floor = np.partition(sims, -k, axis=1)[:, -k][:, None] - 1e-6
-                rows_at, columns = np.nonzero(sims >= np.maximum(floor, least))
-            else:
-                rows_at, columns = np.nonzero(sims >= least)
-            found[0].extend(ids[i] for i in q[rows_at])
-            found[1].extend(ids[i] for i in targets[columns])
-            found[2].extend(sims[rows_at, columns].tolist())
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.array(found[2], pa.float64())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            files = batch.column("file").to_numpy()
-            starts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)] if len(files) else []
-            for lo, hi in itertools.pairwise(starts):
-                if files[lo] != current and held:
-                    if (out := best(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                current = files[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held and (out := best(pa.Table.from_batches(held))) is not None:
-            yield out
-
-    return run
-
-
-def _large(posted: DataFrame) -> DataFrame:
-    return materialize(posted.groupBy("file").count().where(F.col("count") > FILE), "large")
-
-
-def _post(vectors: DataFrame) -> DataFrame:
-    """Rows ``file, key, role``: role 0 asks and answers, 1 only asks, 2 only answers.
-
-    A file of a pair of pivots that is too large is divided by a third: every vector goes to the files of each pivot it
-    has besides. What is too large then is a true cluster and is compared in blocks, block against block, so dividing
-    further costs no recall."""
-    perm = [F.col("perm")[i] for i in range(PREFIX)]
-    pairs = F.array(*(F.array_sort(F.array(perm[i], perm[j])) for i, j in _PAIRS))
-    posted = vectors.select("key", "perm", F.explode(pairs).alias("by")).withColumn("file", F.xxhash64("by"))
-    every = lambda rows: rows.select("file", "key", F.lit(0).alias("role"))
-    large = _large(posted)
+def footrule(orders: np.ndarray, weights: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Footrule distances of orders ``i`` and ``j``: summed differences in rank, where a pivot that an order doesn't hold
+    ranks behind its last. With weights w, that is sum(w) over both less twice the sum of the smaller ones."""
+    k = orders.shape[1]
+    there = weights[j[..., None], orders[i]]
+    return k * (k + 1) - 2 * np.minimum(there, np.arange(k, 0, -1, dtype=np.int8)).sum(-1, dtype=np.int32)
+
+
+def near_distance(pivots: np.ndarray, least: float) -> int:
+    """The footrule distance within which ``NEAR`` of all pairs at a cosine of ``least`` lie, from such pairs made of the
+    pivots and random directions."""
+    rng = np.random.default_rng(29)
+    x = np.repeat(pivots, _MADE, 0)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
+    cosine = min(max(least, -1.0), 1.0)
+    orders = np.concatenate([_orders(v, pivots) for v in (x, cosine * x + math.sqrt(1 - cosine**2) * noise)])
+    n = np.arange(len(x))
+    return int(np.quantile(footrule(orders, _weights(orders, len(pivots)), n, n + len(x)), NEAR))
+
+
+def _post(placed: DataFrame, posted: int) -> DataFrame:
+    """Rows ``tile, role, id, pair, perm``: every vector in the files of all pairs of its nearest pivots. A file is one
+    tile, or a tile for every two of its blocks."""
+    at = itertools.combinations(range(posted), 2)
+    pair = lambda a, b: F.shiftleft(F.least(a, b).cast("int"), 16).bitwiseOR(F.greatest(a, b).cast("int"))
+    pairs = F.array(*(pair(F.col("perm")[i], F.col("perm")[j]) for i, j in at))
+    rows = placed.select("id", F.explode(pairs).alias("pair"), "perm")
+    large = rows.groupBy("pair").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
+    large = materialize(large, "large")
     if large.isEmpty():
-        return every(posted)
-    more = posted.join(large, "file").select("key", "by", F.explode(F.array_except("perm", "by")).alias("x"))
-    divided = more.select("key", F.xxhash64(F.array_sort(F.concat("by", F.array("x")))).alias("file")).distinct()
-    divided = materialize(divided, "divided")
-    clusters = _large(divided)
-    blocks = F.ceil(F.col("count") / FILE).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    numbered = divided.join(clusters, "file").select("file", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    asks = numbered.select(F.xxhash64("file", "own", "other").alias("file"), "key", F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("role"))
-    answers = numbered.where("own <> other").select(F.xxhash64("file", "other", "own").alias("file"), "key", F.lit(2).alias("role"))
-    small = every(posted.join(large, "file", "left_anti")).unionByName(every(divided.join(clusters, "file", "left_anti")))
-    return small.unionByName(asks).unionByName(answers)
+        return rows.select(F.col("pair").cast("long").alias("tile"), F.lit(0).alias("role"), "id", "pair", "perm")
+    small = rows.join(large, "pair", "left_anti").select(F.col("pair").cast("long").alias("tile"), F.lit(0).alias("role"), "id", "pair", "perm")
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = rows.join(large, "pair").select("id", "pair", "perm", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    role = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return small.unionByName(dealt.select(F.xxhash64("pair", low, high).alias("tile"), role.alias("role"), "id", "pair", "perm"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], pivots: int, posted: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``x, y, distance``: pairs of vectors of a file whose footrule distance is at most ``most``, each pair only in
+    the first of the files it shares."""
+    for table in whole_tiles(batches):
+        tile, role, ids, pair = (table[c].to_numpy() for c in ("tile", "role", "id", "pair"))
+        orders = table["perm"].combine_chunks().flatten().to_numpy().reshape(len(tile), -1)
+        weights = _weights(orders, pivots)
+        seen = []
+
+        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return footrule(orders, weights, i, j) <= most
+
+        for i, j in meetings(tile, role, possible):
+            a, b = orders[i, :posted].astype(np.int32), orders[j, :posted]
+            both = np.sort(np.where((a[:, :, None] == b[:, None, :]).any(2), a, 1 << 15), axis=1)
+            first = (both[:, 0] << 16) | both[:, 1] == pair[i]
+            i, j = i[first], j[first]
+            x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(footrule(orders, weights, i, j))], ["x", "y", "distance"])
+
+
+def _cosine(dim: int):
+    @F.arrow_udf(DoubleType())
+    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((_matrix(a, dim) * _matrix(b, dim)).sum(1)) if len(a) else pa.array([], pa.float64())
+
+    return cosine
 
 
 def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.85) -> DataFrame:
@@ -183,42 +169,40 @@ def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5
     null, NaN or infinity, or are all zero don't count; repeated rows count once, null keys don't; fewer than two usable
     vectors give no rows; other columns are ignored, whatever their names. Pivots are a hash sample of at most
     ``MOST_PIVOTS`` vectors, the only vectors that reach the driver."""
-    rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("embedding")).where("id is not null")
+    rows = df.select(F.col(key).cast("string").alias("name"), F.col(vector).alias("embedding")).where("name is not null")
+    # written before it is filtered: a filter on a function's result would run the function twice
     rows = materialize(rows.withColumn("key", _vector_keys(dim)("embedding")), "vectors").where("key is not null")
-    members = materialize(rows.groupBy("id").agg(F.min("key").alias("key")), "members")
-    alike = materialize(rows.groupBy("key").agg(F.min("embedding").alias("embedding")), "distinct")
+    alike = rows.groupBy("key").agg(F.min("embedding").alias("embedding")).withColumn("id", F.monotonically_increasing_id())
+    alike = materialize(alike, "distinct")
+    members = rows.groupBy("name").agg(F.min("key").alias("key")).join(alike.select("key", "id"), "key").select("name", "id")
+    members = materialize(members, "members")
     count = alike.count()
-    pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(3 * count // 2)))
+    pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * math.isqrt(count)))
     sample = alike.orderBy(F.xxhash64("key", F.lit(23)), "key").limit(pivots).select("embedding").toArrow()
-    empty = "query binary, near binary, sim double"
-    if count < PREFIX:
-        found = alike.alias("a").join(alike.alias("b"), F.col("a.key") != F.col("b.key")).select(F.col("a.key").alias("query"), F.col("b.key").alias("near"), _cosine(dim)("a.embedding", "b.embedding").alias("sim"))
-    else:
+    found = members.where("false").select(F.col("id").alias("query"), F.col("id").alias("near"), F.lit(0.0).alias("sim"))
+    if count > 1:
         matrix = _matrix(sample["embedding"].combine_chunks(), dim)
-        placed = materialize(alike.withColumn("perm", _permutations(matrix)("embedding")), "permutations")
-        filed = _post(placed).join(placed, "key").repartition("file").sortWithinPartitions("file")
-        found = filed.select("file", "key", "role", "perm", "embedding").mapInArrow(_search_files(dim, k + 1, least - 1e-6), empty)
-    found = found.select("query", "near", F.round("sim", 6).alias("sim")).where(F.col("sim") >= least)
-
-    order = Window.partitionBy("key").orderBy("id")
-    heads = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        posted = min(POSTED, len(matrix))
+        placed = materialize(alike.select("id", _permutations(matrix)("embedding").alias("perm")), "permutations")
+        tiles = _post(placed, posted).repartition("tile").sortWithinPartitions("tile")
+        compare = partial(_compare, pivots=len(matrix), posted=posted, most=near_distance(matrix, least))
+        near = tiles.mapInArrow(compare, "x long, y long, distance int")
+        vectors = alike.select("id", "embedding")
+        both = near.join(vectors.select(F.col("id").alias("x"), F.col("embedding").alias("ex")), "x")
+        both = both.join(vectors.select(F.col("id").alias("y"), F.col("embedding").alias("ey")), "y")
+        scored = materialize(both.select("x", "y", F.round(_cosine(dim)("ex", "ey"), 6).alias("sim")), "reranked").where(F.col("sim") >= least)
+        discard(placed)
+        found = scored.select(F.col("x").alias("query"), F.col("y").alias("near"), "sim").unionByName(scored.select(F.col("y").alias("query"), F.col("x").alias("near"), "sim"))
+
+    order = Window.partitionBy("id").orderBy("name")
+    heads = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("names"))
     heads = materialize(heads, "heads")
-    near = found.distinct().join(heads.withColumnRenamed("key", "near"), "near")
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col("ids")[0]))).where(F.col("n") <= k)
-    spread = ranked.select("query", F.transform("ids", lambda i: F.struct((-F.col("sim")).alias("s"), i.alias("id"))).alias("c"))
+    near = found.join(heads.withColumnRenamed("id", "near"), "near")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col("names")[0]))).where(F.col("n") <= k)
+    spread = ranked.select("query", F.transform("names", lambda i: F.struct((-F.col("sim")).alias("s"), i.alias("name"))).alias("c"))
     others = spread.groupBy("query").agg(F.flatten(F.collect_list("c")).alias("others"))
-    own = heads.select("key", F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("id"))).alias("own"))
-    lists = own.join(others.withColumnRenamed("query", "key"), "key", "left").select("key", F.when(F.col("others").isNull(), F.col("own")).otherwise(F.concat("own", "others")).alias("c"))
+    own = heads.select("id", F.transform("names", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("name"))).alias("own"))
+    lists = own.join(others.withColumnRenamed("query", "id"), "id", "left").select("id", F.when(F.col("others").isNull(), F.col("own")).otherwise(F.concat("own", "others")).alias("c"))
     lists = lists.where(F.size("c") > 1)
-    result = members.join(lists, "key").select("id", F.slice(F.array_sort(F.filter("c", lambda x: x["id"] != F.col("id"))), 1, k).alias("c"))
-    return result.select(F.col("id").alias(key), F.explode("c").alias("c")).select(key, F.col("c.id").alias("neighbor_id"), (-F.col("c.s")).alias("similarity"))
-
-
-def _cosine(dim: int):
-    from pyspark.sql.types import DoubleType
-
-    @F.arrow_udf(DoubleType())
-    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array((_matrix(a, dim) * _matrix(b, dim)).sum(1))
-
-    return cosine
+    result = members.join(lists, "id").select("name", F.slice(F.array_sort(F.filter("c", lambda x: x["name"] != F.col("name"))), 1, k).alias("c"))
+    return result.select(F.col("name").alias(key), F.explode("c").alias("c")).select(key, F.col("c.name").alias("neighbor_id"), (-F.col("c.s")).alias("similarity"))

@@ -285,9 +285,9 @@ def vectors(seed, n, dim=64, spread=0.25):
     return [(f"v{i:05d}", (centres[i % len(centres)] + spread * rng.normal(size=dim)).astype(np.float32).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("file", [8, 1024])
-def test_recall(spark, monkeypatch, file):
-    monkeypatch.setattr(permindex, "FILE", file)  # small files are divided, and compared in blocks at last
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_recall(spark, monkeypatch, tile):
+    monkeypatch.setattr(permindex, "TILE", tile)  # files of more are compared in blocks
     rows = vectors(1, 700)
     got = {(r.id, r.neighbor_id) for r in permindex.most_similar(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding").collect()}
     expected = brute_neighbours(rows)
@@ -316,8 +316,19 @@ def test_vector_cases(spark):
 
 
 def test_footrule():
-    a, b = np.array([[1, 2, 3]]), np.array([[1, 2, 3], [2, 1, 3], [7, 8, 9]])
-    assert permindex.footrule(a, b).tolist() == [[0, 2, 12]]
+    orders = np.array([[1, 2, 3], [2, 1, 3], [7, 8, 9], [1, 2, 3]], np.int16)
+    weights = permindex._weights(orders, 10)
+    assert permindex.footrule(orders, weights, np.array([0, 0, 0]), np.array([3, 1, 2])).tolist() == [0, 2, 12]
+    plain = [[sum(abs((x.index(p) if p in x else 3) - (y.index(p) if p in y else 3)) for p in range(10)) for y in orders.tolist()] for x in orders.tolist()]
+    assert permindex.footrule(orders, weights, np.arange(4)[:, None], np.arange(4)[None, :]).tolist() == plain
+
+
+def test_footrule_decides(spark, monkeypatch):
+    """A smaller distance loses neighbours: what isn't near by footrule is never reranked."""
+    df = spark.createDataFrame(vectors(3, 300), "id string, embedding array<float>")
+    near = permindex.most_similar(df, "id", "embedding", least=0.5).count()
+    monkeypatch.setattr(permindex, "near_distance", lambda *_: 30)
+    assert 0 < permindex.most_similar(df, "id", "embedding", least=0.5).count() < 0.7 * near
 
 
 # --- top N ---
