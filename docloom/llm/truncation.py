@@ -4,14 +4,15 @@ From all different texts the operator counts words and line openings; copies of
 used inside texts are the vocabulary, kept as a trie in relational form: one row for every proper prefix of a word that
 has the length of some text's final token. The ending of every text is then judged:
 
-* a final token that begins longer words far more often than it is used as a word itself, and ends texts more often than
-  that use explains, stops within a word (shares, so they hold at any size);
-* an ending without closing punctuation stops within a sentence, unless its last line is of a kind that mostly closes
-  texts (signatures, page numbers, enclosures; told from the corpus by how its first words are used elsewhere) or the
-  text is one line without any sentence (a title) that doesn't begin as running text does;
+* a final token that isn't a word but begins longer ones in the trie (it begins them far more often than it is used
+  itself, and ends texts more often than that use explains) stops within a word; shares, so they hold at any size;
+* an ending without closing punctuation, on a word that texts use inside or on a mark that asks for more, stops within a
+  sentence, unless its last line is of a kind that mostly closes texts (signatures, page numbers, enclosures; told from the
+  corpus by how its first words are used elsewhere) or the text is one line without any sentence (a title) that doesn't
+  begin as running text does. Of a final token that is neither a word nor a beginning (names, codes) only the length tells;
 * a marker of omission, half an entity, half an escape or a broken character after an open ending doesn't close it;
-* lengths that unclosed texts of a source share are its field limits; what repeatedly stands right behind a limit, and
-  hardly ever elsewhere, is a stamp set after the cut, and a text that ends with a stamp was cut before it.
+* lengths that unclosed texts of a source share are its field limits; what repeatedly stands behind a limit, however long,
+  and hardly ever elsewhere, is a stamp set after the cut, and a text that ends with a stamp was cut before it.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-from docloom.llm.transducer import INVISIBLE, one_form
+from docloom.llm.transducer import INVISIBLE, SPACES, one_form
 from docloom.session import materialize
 
 #: A fragment's uses inside texts are at most this share of those of the longer words it begins; the longer words are
@@ -44,6 +45,7 @@ FLUSH = 400_000
 _WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
 _BLANK = rf"\s{INVISIBLE}"
+_BLANKS = " \t\n\r\x0b\x0c\x85\u2028\u2029" + SPACES + INVISIBLE
 _OMISSION = re.compile(rf"(?:[{_BLANK}]|…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|&nbsp;|<br\s*/?>)+$")
 _BROKEN = re.compile(r"(?:�|&(?:#\w{0,6}|[a-zA-Z]{0,6})|<[^<>\s]{0,20}|\\u[0-9a-fA-F]{0,3}|\\)$")
 _CLOSED = re.compile(r"[.!?。！？．\]”»\"’>]$|\([^()]*\)$|\bv\.\s?v$|\betc$")
@@ -86,7 +88,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-_TAIL = StructType([StructField("tail", StringType()), StructField("chars", IntegerType()), StructField("bytes", IntegerType())])
 _ENDING = StructType(
     [
         StructField("chars", IntegerType()),
@@ -97,16 +98,13 @@ _ENDING = StructType(
         StructField("title", BooleanType()),
         StructField("token", StringType()),
         StructField("opening", StringType()),
-        StructField("tails", ArrayType(_TAIL)),
     ]
 )
-_ARROW_TAIL = pa.struct([("tail", pa.string()), ("chars", pa.int32()), ("bytes", pa.int32())])
 _ARROW_ENDING = pa.struct(
     [
         *((c, pa.int32()) for c in ("chars", "bytes")),
         *((c, pa.bool_()) for c in ("open", "broken", "omitted", "title")),
         *((c, pa.string()) for c in ("token", "opening")),
-        ("tails", pa.list_(_ARROW_TAIL)),
     ]
 )
 
@@ -136,12 +134,6 @@ def judge_ending(text: str) -> dict:
     numbered = bool(_NUMBERING.fullmatch(line))
     open_end = bool(form) and (not _CLOSED.search(form) or numbered)
     word = re.search(r"(\w+)$", form)
-    tails = []
-    if not open_end:
-        size = len(text.encode())
-        for match in list(re.finditer(r"\S+", text[-120:]))[-5:-1]:
-            tail = text[-120:][match.end() :]
-            tails.append({"tail": tail.strip(), "chars": len(text) - len(tail), "bytes": size - len(tail.encode())})
     return {
         "chars": len(text),
         "bytes": len(text.encode()),
@@ -151,7 +143,6 @@ def judge_ending(text: str) -> dict:
         "title": at < 0 and len(line.split()) <= TITLE_WORDS and not _SENTENCE.search(form),
         "token": word.group(1).lower() if word else None,
         "opening": opening(line) if not numbered and (len(line.split()) <= CLOSING_WORDS or at < 0) else None,
-        "tails": tails,
     }
 
 
@@ -186,7 +177,7 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     # written before it is filtered: a filter on a function's result would run the function twice
     judged = materialize(judged, "endings").where("e is not null").select("row", "key", "s", "source", "cls", "e.*")
 
-    fragments = _fragments(counts.where("kind = 'word'").select("name", "n"), judged.select("cls", "token", "open").distinct())
+    tokens = _final_tokens(counts.where("kind = 'word'").select("name", "n"), judged.select("cls", "token", "open").distinct())
     measured = judged.where("open").select("s", "cls", "chars", "bytes").distinct().select("s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("m")).select("s", "m.*")
     totals = measured.where("unit = 'chars'").groupBy("s").agg(F.count("*").alias("of"))
     limits = measured.groupBy("s", "unit", "size").count().join(totals, "s").where((F.col("count") >= LIMIT_TEXTS) & (F.col("count") >= LIMIT_SHARE * F.col("of"))).select("s", "unit", "size")
@@ -194,44 +185,66 @@ def truncated_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     by_chars = limits.where("unit = 'chars'").select("s", F.col("size").alias("chars"), F.lit(True).alias("char_limit"))
     by_bytes = limits.where("unit = 'bytes'").select("s", F.col("size").alias("bytes"), F.lit(True).alias("byte_limit"))
 
-    tails = judged.where("not open").select("row", "s", "cls", F.explode("tails").alias("t")).select("row", "s", "cls", "t.*")
-    behind = tails.drop("row").distinct().join(by_chars, ["s", "chars"], "left").join(by_bytes, ["s", "bytes"], "left")
-    at = F.count_if(F.coalesce("char_limit", "byte_limit", F.lit(False)))
-    stamps = behind.groupBy("tail").agg(at.alias("at"), F.count("*").alias("all")).where((F.col("at") >= STAMP_TEXTS) & (F.col("at") >= STAMP_SHARE * F.col("all"))).select("tail")
-    stamped = tails.join(stamps, "tail", "left_semi").select("row", F.lit(True).alias("stamped")).distinct()
+    stamped = _stamped(rows.where("text is not null").select(F.coalesce("source", F.lit("")).alias("s"), "cls", "text"), judged.where("not open and not omitted").select("cls").distinct(), limits)
 
     doubtful = judged.where("open or omitted or broken")
     doubtful = doubtful.join(kinds, "opening", "left").join(by_chars, ["s", "chars"], "left").join(by_bytes, ["s", "bytes"], "left")
-    doubtful = doubtful.join(fragments.withColumn("fragment", F.lit(True)), "token", "left")
+    doubtful = doubtful.join(tokens, "token", "left")
     within = F.col("open") & F.coalesce("fragment", F.lit(False))
     limit = F.coalesce("char_limit", "byte_limit", F.lit(False))
     closing, running = (F.coalesce(c, F.lit(False)) for c in ("closing", "running"))
     closed = closing | (F.col("title") & ~limit & ~running)
-    cut = F.col("broken") | within | (F.col("open") & (~closed | F.col("omitted"))) | (F.col("omitted") & limit)
+    unfinished = F.col("token").isNull() | F.coalesce("known", F.lit(False)) | limit | F.col("omitted")
+    cut = F.col("broken") | within | (F.col("open") & unfinished & (~closed | F.col("omitted"))) | (F.col("omitted") & limit)
     found = doubtful.select("row", within.alias("within_word"), limit.alias("at_limit"), cut.alias("cut"))
-    out = judged.select("row", "key", "source").join(found, "row", "left").join(stamped, "row", "left")
+    out = judged.select("row", "cls", "key", "source").join(found, "row", "left").join(stamped, "cls", "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("within_word", "at_limit", "stamped")]
     truncated = F.coalesce("cut", F.lit(False)) | F.coalesce("stamped", F.lit(False))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), truncated.alias("truncated"), *flags)
 
 
-def _fragments(words: DataFrame, finals: DataFrame) -> DataFrame:
-    """Rows ``token`` of final tokens that are beginnings of words, from the uses ``n`` of every ``name`` in all texts and
-    a row ``token, open`` for every text. A text's own final token isn't a use inside texts."""
+def _stamped(texts: DataFrame, closed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows ``cls, stamped`` of texts ``s, cls, text`` among the ``closed`` ones that end with a stamp: what stands behind
+    limits ``s, unit, size`` in several texts, and in a good share of all texts that end so. Endings are compared by
+    hashes, whatever their length."""
+    blank = F.lit(_BLANKS)
+    ended = texts.select("s", "cls", F.rtrim("text", blank).alias("text"))
+    size = F.when(F.col("unit") == "chars", F.length("text")).otherwise(F.octet_length("text"))
+    rest = F.when(F.col("unit") == "chars", F.substring("text", F.col("size") + 1, F.length("text"))).otherwise(
+        F.substring(F.encode("text", "UTF-8"), F.col("size") + 1, F.octet_length("text")).cast("string")
+    )
+    tail = F.ltrim(rest, blank)
+    behind = ended.join(limits, "s").where(size > F.col("size")).select("cls", tail.alias("tail")).where("tail <> ''")
+    behind = behind.select("cls", F.md5("tail").alias("ending"), F.length("tail").alias("k")).distinct().join(closed, "cls")
+    likely = materialize(behind.groupBy("ending", "k").agg(F.count("*").alias("at")).where(F.col("at") >= STAMP_TEXTS), "tails")
+    lengths = likely.agg(F.collect_set("k").alias("lengths"))
+    ends = ended.select("cls", "text").distinct().crossJoin(F.broadcast(lengths))  # one row of lengths
+    ends = ends.select("cls", "text", F.explode(F.filter("lengths", lambda k: k <= F.length("text"))).alias("k"))
+    ends = ends.select("cls", "k", F.md5(F.expr("right(text, k)")).alias("ending")).join(likely, ["k", "ending"])
+    ends = materialize(ends.select("cls", "ending", "at").join(closed, "cls"), "ends")
+    stamps = ends.groupBy("ending").agg(F.count("*").alias("all"), F.any_value("at").alias("at")).where(F.col("at") >= STAMP_SHARE * F.col("all"))
+    return ends.join(stamps.select("ending"), "ending", "left_semi").select("cls", F.lit(True).alias("stamped")).distinct()
+
+
+def _final_tokens(words: DataFrame, finals: DataFrame) -> DataFrame:
+    """Rows ``token, fragment, known`` of the tokens that open endings stop on: whether the trie has it as a beginning of
+    words rather than a word, and whether texts use it inside; from the uses ``n`` of every ``name`` in all texts and a row
+    ``token, open`` for every text. A text's own final token isn't a use inside texts."""
     ends = materialize(finals.where("token is not null").groupBy("token").agg(F.count("*").alias("finals"), F.count_if("open").alias("ends")), "finals")
     inside = words.join(ends, words["name"] == ends["token"], "left").select("name", (F.col("n") - F.coalesce("finals", F.lit(0))).alias("n")).where("n > 0")
     inside = materialize(inside, "inside")
     ends = ends.where("ends > 0").select("token", "ends")
-    # only prefixes as long as some final token: one row of lengths, each of another token
+    # of the trie only nodes as deep as some final token: one row of lengths, each of another token
     lengths = ends.agg(F.collect_set(F.length("token")).alias("lengths"))
     longer = inside.crossJoin(F.broadcast(lengths)).select("n", "name", F.explode(F.filter("lengths", lambda k: k < F.length("name"))).alias("k"))
     longer = longer.groupBy(F.substring(F.col("name"), F.lit(1), F.col("k")).alias("token")).agg(F.sum("n").alias("longer"))
     totals = inside.agg(F.sum("n").alias("tokens")).crossJoin(ends.agg(F.sum("ends").alias("open_ends")))
-    used = ends.join(longer, "token").join(inside.withColumnRenamed("name", "token"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    used = ends.join(longer, "token", "left").join(inside.withColumnRenamed("name", "token"), "token", "left").fillna(0, ["n", "longer"])
+    begins = F.col("longer") > 0
     rare = F.col("n") <= INSIDE_SHARE * F.col("longer")
     extended = F.col("longer") >= EXTENDED * F.col("ends")
     often_last = F.col("ends") * F.col("tokens") >= OFTEN_LAST * F.col("n") * F.col("open_ends")
-    return used.crossJoin(F.broadcast(totals)).where(rare & extended & often_last).select("token")
+    return used.crossJoin(F.broadcast(totals)).select("token", (begins & rare & extended & often_last).alias("fragment"), (F.col("n") > 0).alias("known"))
 
 
 def _prefixes(names: DataFrame) -> DataFrame:

@@ -238,3 +238,25 @@ def test_recurring_fragments_are_no_words(spark):
     cut = [(900 + i, f"Thông báo {i} về việc nghiệm thu công trì") for i in range(8)]  # titles, each another text
     kept = [(950 + i, f"Thông báo {i} về việc đăng ký quy trình") for i in range(8)]
     assert found_truncated(spark, [*whole, *cut, *kept]) == {i for i, _ in cut}
+
+
+def test_the_trie_decides(spark, monkeypatch):
+    """A fragment that no text uses as a word is found by the trie alone; a name that begins no word isn't a cut."""
+    line = "Câu về công trình và quy trình của phòng thử số"
+    whole = [(i, f"{line} {i}. {line} {i}.") for i in range(60)]
+    cut = [(900 + i, f"Câu đầu số {i}{' nữa' * i}. Câu hai về việc nghiệm thu công trì") for i in range(4)]
+    signed = [(950 + i, f"Câu đầu số {i}{' nữa' * i}. Câu hai đủ.\nNgười lập bảng thứ {i} là ông Xyzq{chr(97 + i)}w") for i in range(4)]
+    assert found_truncated(spark, [*whole, *cut, *signed]) == {i for i, _ in cut}
+    real = truncation._final_tokens
+    monkeypatch.setattr(truncation, "_final_tokens", lambda *a: real(*a).withColumn("fragment", truncation.F.lit(False)))
+    assert found_truncated(spark, [*whole, *cut, *signed]) == set()
+
+
+def test_stamps_of_any_length(spark):
+    """A stamp behind a field limit is learned whatever its length, also where it stands right behind a letter."""
+    stamp = " (văn bản này còn tiếp tục ở phần sau, xem thêm toàn văn tại trang thông tin điện tử của cơ quan ban hành, mục công báo, số ra cùng ngày)."
+    text = "Quyết định nghiệm thu công trình phòng thử thực hiện theo văn bản và quy trình đăng ký hằng năm của cơ quan "
+    body = [(i, f"Bài {i:03d}. " + text * 3 + f"Kết thúc bài {i}.") for i in range(30)]
+    cut = [(500 + i, (f"Phần {i:03d}. " + text * 4)[:200]) for i in range(8)]
+    stamped = [(600 + i, (f"Mục {i:03d}. " + text * 4)[:200] + (stamp if i % 2 else stamp.strip())) for i in range(6)]
+    assert found_truncated(spark, [*body, *cut, *stamped]) == {i for i, _ in [*cut, *stamped]}
