@@ -9,7 +9,7 @@ order again, at most as often as its cap allows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ class Source:
     max_repeats: int
     texts: int = 0
     tokens: int = 0
+    largest: int = 0
     demand: float = 0.0
     knots: tuple = ((0.0, 1.0), (1.0, 1.0))
 
@@ -70,7 +71,7 @@ def plan_demand(sources: list[Source], total: int | None = None) -> list[Source]
     out = []
     for s in sources:
         tilt = TILT * (epochs[s.name] - mean) / spread if s.name in epochs else 0.0
-        out.append(Source(s.name, s.share, s.max_repeats, s.texts, s.tokens, demand.get(s.name, 0.0), ((0.0, 1 - tilt), (1.0, 1 + tilt))))
+        out.append(replace(s, demand=demand.get(s.name, 0.0), knots=((0.0, 1 - tilt), (1.0, 1 + tilt))))
     return out
 
 
@@ -109,27 +110,33 @@ def _lookup(sources: list[Source], values: dict[str, float], kind: str) -> Colum
     return F.element_at(F.create_map(*pairs), F.col("source"))
 
 
+def eligible_texts(df: DataFrame, sources: list[str], key: str, text: str, source: str, path: str | None = None, seed: int = 17) -> DataFrame:
+    """Rows ``id, source, key, h, n`` of the different texts with tokens of the named sources: each belongs to the smallest
+    of them that has it and is named by its smallest key there; ``h`` orders them, ``n`` counts tokens."""
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = rows.where(F.col("source").isin(sources)) if sources else rows.where("false")
+    counted = rows.select(F.struct("source", "key").alias("name"), F.xxhash64("text", F.lit(seed)).alias("h"), F.unhex(F.md5("text")).alias("id"), token_counts(path or default_path())("text").alias("n"))
+    texts = counted.groupBy("id").agg(F.min("name").alias("name"), F.min("h").alias("h"), F.min("n").alias("n"))
+    # filtered only now: a filter on the counted column would count twice
+    return texts.where("n > 0").select("id", "name.source", "name.key", "h", "n")
+
+
 def mix_sources(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, total: int | None = None, path: str | None = None, schedules: dict[str, Knots] | None = None, seed: int = 17) -> tuple[DataFrame, list[Source]]:
     """Rows ``position, source, key, copy, n_tokens`` in training order, and the plan they follow.
 
-    ``position`` is the training time in 0..1. Equal texts are one text, of the smallest source that has it, named by its
-    smallest key, so no text is used more often than ``max_repeats`` whatever its copies. Texts without a token (null and
-    empty ones) and texts of no target source aren't used; null keys stay null; other columns are ignored.
+    ``position`` is the training time in 0..1. Equal texts are one text, of the smallest target source that has it, named
+    by its smallest key there, so no text is used more often than ``max_repeats`` whatever its copies. Texts without a
+    token (null and empty ones) and texts of no target source aren't used; null keys stay null; other columns are ignored.
 
     Running sums are taken within buckets of the hash order of a source, on top of the sums of the buckets before them
     (one row a source and bucket), so no task sees a whole source."""
     wanted = read_targets(targets)
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    counted = rows.select("key", "source", F.xxhash64("text", F.lit(seed)).alias("h"), F.unhex(F.md5("text")).alias("id"), token_counts(path or default_path())("text").alias("n"))
-    texts = counted.groupBy("id").agg(F.min("source").alias("source"), F.min("key").alias("key"), F.min("h").alias("h"), F.min("n").alias("n"))
-    texts = texts.where("n > 0")  # not earlier: a filter on the counted column would count twice
-    texts = texts.where(F.col("source").isin([s.name for s in wanted])) if wanted else texts.where("false")
-    texts = materialize(texts, "texts")
-    have = {r.source: r for r in texts.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens")).collect()}
-    sources = [Source(s.name, s.share, s.max_repeats, have[s.name].texts, have[s.name].tokens) if s.name in have else s for s in wanted]
+    texts = materialize(eligible_texts(df, [s.name for s in wanted], key, text, source, path, seed), "texts")
+    have = {r.source: r for r in texts.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.max("n").alias("largest")).collect()}
+    sources = [Source(s.name, s.share, s.max_repeats, have[s.name].texts, have[s.name].tokens, have[s.name].largest) if s.name in have else s for s in wanted]
     sources = plan_demand(sources, total)
     if schedules:
-        sources = [Source(**{**vars(s), "knots": tuple(schedules.get(s.name, s.knots))}) for s in sources]
+        sources = [replace(s, knots=tuple(schedules.get(s.name, s.knots))) for s in sources]
     used = [s for s in sources if s.demand]
     if not used:
         empty = texts.where("false")

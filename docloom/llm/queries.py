@@ -178,6 +178,42 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that may be used, each with the source and document it counts for."""
+    sources = [s.name for s in mixing.read_targets(_table(spark, d, "mix_targets"))]
+    return mixing.eligible_texts(_table(spark, d, "documents"), sources, "doc_id", "text", "source").select("source", F.col("key").alias("doc_id"))
+
+
+P9_TEXTS = """SELECT source, doc_id FROM documents SEMI JOIN mix_targets USING (source) WHERE text <> ''
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY source, doc_id NULLS FIRST) = 1"""
+
+
+def p9_contract(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mix, per target source: its texts, and whether any use names a document of another source,
+    exceeds the cap, skips a copy, leaves training time or comes before an earlier copy; and whether its tokens are off
+    what its share demands by more than its largest text."""
+    mixed, plan = _mix(spark, d)
+    owners = _table(spark, d, "documents").select("doc_id", F.col("source").alias("owner")).distinct()
+    named = mixed.join(owners, "doc_id", "left").groupBy("source", "doc_id", "copy").agg(F.count_if(F.col("owner") == F.col("source")).alias("own"), F.first("position").alias("position"), F.first("n_tokens").alias("n"))
+    turns = named.groupBy("source", "doc_id").agg(F.max("copy").alias("last"), F.count("*").alias("uses"), F.count_if(F.col("own") == 0).alias("foreign"), F.max_by("position", "copy").alias("latest"), F.max("position").alias("most"), F.min("position").alias("least"), F.sum("n").alias("tokens"))
+    got = turns.groupBy("source").agg(
+        F.sum("foreign").alias("foreign"), F.max("last").alias("last"), F.count_if(F.col("uses") != F.col("last") + 1).alias("gaps"),
+        F.count_if((F.col("least") < 0) | (F.col("most") > 1)).alias("outside"), F.count_if(F.col("latest") < F.col("most")).alias("turned"), F.sum("tokens").alias("tokens"),
+    )
+    rows = [(s.name, s.texts, float(s.demand), s.max_repeats, s.largest) for s in plan]
+    wanted = spark.createDataFrame(rows, "source string, texts long, demand double, max_repeats int, largest long")
+    found = wanted.join(F.broadcast(got), "source", "left").fillna(0)
+    off = F.abs(F.col("tokens") - F.col("demand")) > F.col("largest")
+    return found.select(
+        "source", "texts", F.col("foreign").cast("int").alias("foreign_names"), (F.col("last") >= F.greatest("max_repeats", F.lit(1))).alias("over_cap"),
+        F.col("gaps").cast("int").alias("copies_missing"), F.col("outside").cast("int").alias("outside_time"), F.col("turned").cast("int").alias("out_of_turn"), off.alias("off_share"),
+    )
+
+
+P9_CONTRACT = f"""WITH t AS ({P9_TEXTS}) SELECT m.source, count(t.source) AS texts, 0 AS foreign_names, false AS over_cap, 0 AS copies_missing, 0 AS outside_time, 0 AS out_of_turn, false AS off_share
+    FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) m LEFT JOIN t USING (source) GROUP BY m.source"""
+
+
 # --- problem 10 --------------------------------------------------------------------------------------------------
 
 
@@ -194,7 +230,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_report p2_found p2_groups p3_found p4_found p4_ranked p5_found p5_one_form p6_found p6_pieces p7_found p7_llr p8_ids p9_mix p9_shares p10_found p10_shares"
+    names = "p1_found p1_report p2_found p2_groups p3_found p4_found p4_ranked p5_found p5_one_form p6_found p6_pieces p7_found p7_llr p8_ids p9_mix p9_shares p9_texts p9_contract p10_found p10_shares"
     return {n: globals()[n] for n in names.split() if n in globals()}
 
 
@@ -203,4 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _top_sql(3, "doc_id, qid, chunk_id"),
         "p4_ranked": _top_sql(10, "doc_id, score, chunk_id, qid, rank"),
         "p6_found": P6_SQL,
+        "p9_texts": P9_TEXTS,
+        "p9_contract": P9_CONTRACT,
     }

@@ -384,6 +384,16 @@ def test_mix(spark):
     assert sorted(mixing.mix_sources(documents(spark).repartition(7), targets(spark, ("large", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2)), "doc_id", "text", "source")[0].collect()) == sorted(rows)
 
 
+def test_mix_names_documents_of_their_source(spark):
+    """A text of a target and another source counts for the target; one of two targets for the smaller, by its own key."""
+    rows = [(1, "văn bản chung", "aaa"), (2, "văn bản chung", "zzz"), (3, "văn bản riêng", "zzz"), (4, "hai nguồn", "zzz"), (5, "hai nguồn", "mmm"), (0, "hai nguồn", "aaa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = mixing.eligible_texts(df, ["mmm", "zzz"], "doc_id", "text", "source").collect()
+    assert {(r.source, r.key) for r in texts} == {("zzz", 2), ("zzz", 3), ("mmm", 5)}
+    mixed, _ = mixing.mix_sources(df, targets(spark, ("zzz", 0.5, 1), ("mmm", 0.5, 9)), "doc_id", "text", "source")
+    assert {(r.source, r.doc_id) for r in mixed.collect()} == {("zzz", 2), ("zzz", 3), ("mmm", 5)}
+
+
 def test_mix_cases(spark):
     wanted = targets(spark, ("large", 1.0, 1))
     assert mixing.mix_sources(documents(spark).where("false"), wanted, "doc_id", "text", "source")[0].count() == 0
