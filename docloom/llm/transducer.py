@@ -7,7 +7,8 @@ rewriting is returned after a single scan.
 One form means: composed letters, ordinary spaces, characters of ordinary width, no invisible characters, and Latin
 letters instead of the Greek, Cyrillic or mathematical ones that only look like them. A look-alike is rewritten only
 inside a word that also holds a Latin letter, so foreign words and symbols standing alone stay as they are.
-Superscripts, fractions, dashes, line breaks, tabs and doubled spaces are left alone.
+Superscripts, fractions, dashes, line breaks, tabs and doubled spaces are left alone, and so are joiners between letters
+of scripts that they shape (Persian, Hindi and others).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ OTHER_SCRIPTS = {"ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ս": "u", "ո": "n
 #: Latin letters that stand for the Vietnamese D with stroke wherever they occur.
 STROKED = {"Ð": "Đ", "Ɖ": "Đ", "ð": "đ"}
 
-ZWJ = "\u200d"
+ZWNJ, ZWJ = JOINERS = "\u200c\u200d"
 VOWELS = "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY"
 TONES = ["", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323"]
 
@@ -136,15 +137,30 @@ def compiled() -> tuple[Transducer, re.Pattern, re.Pattern]:
 _CLUSTERS = regex.compile(r"\X")
 _JOINED = regex.compile(r"[\p{So}\p{Sk}\ufe0f]")
 _LATIN = regex.compile(r"\p{Latin}")
+#: Joiners that shape the letters of scripts which are written joined; they stay.
+_SHAPED = "[" + "".join(rf"\p{{{s}}}" for s in "Arabic Syriac Mongolian Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Khmer Myanmar Tibetan".split()) + "]"
+_JOINERS = regex.compile(rf"(?<={_SHAPED}\p{{M}}*)[\u200c\u200d]+(?={_SHAPED})")
 
 
 def _rewrite(run: str, whole: str, at: int) -> str:
     """One run of letters, marks and invisible characters (or one other character) in one form."""
-    transducer, suspect, _ = compiled()
+    _, suspect, _ = compiled()
     if not suspect.search(run):
         return run
     if run == ZWJ and at and _JOINED.match(whole, at - 1):
         return run  # holds the parts of one symbol together
+    if kept := [m.span() for m in _JOINERS.finditer(whole, at, at + len(run))]:
+        out, last = [], at
+        for lo, hi in kept:
+            out += [_bare(whole[last:lo]), whole[lo:hi]]
+            last = hi
+        return "".join([*out, _bare(whole[last : at + len(run)])])
+    return _bare(run)
+
+
+def _bare(run: str) -> str:
+    """A run without invisible characters, its clusters rewritten."""
+    transducer, _, _ = compiled()
     bare = run.translate(_NO_INVISIBLE)
     latin = bool(_LATIN.search(bare))
     return "".join(transducer.cluster(c, latin) for c in _CLUSTERS.findall(bare))
@@ -167,7 +183,7 @@ def one_form(text: str) -> str:
         known = _words.get(word)
         if known is None:
             known = _rewrite(word, match.string, match.start())
-            if len(word) < 40 and word != ZWJ:
+            if len(word) < 40 and word[0] not in JOINERS:  # those depend on what stands before
                 if len(_words) >= 200_000:  # bounded: a memo of this process, not a result
                     _words.clear()
                 _words[word] = known

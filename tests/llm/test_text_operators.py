@@ -15,7 +15,7 @@ SAME = {
     "phảι": "phải", "С‌ăn": "Căn", "t​hаng": "thang", "Ｔｒữｕ ２０": "Trữu 20", "Ðiều": "Điều", "QТ1753": "QT1753", "ộ": "ộ", "ộ": "ộ",
     "а́o": "áo", "a b　c": "a b c", "ợ": "ợ", "ｏ̂́n": "ốn", "​": "", "ế": "ế", "рlaron_th\xado7": "plaron_tho7",
 }
-KEPT = ["ГОСТ α Ω", "m² ½ – “x”", "a\nb\t  c", "日本語。", "👨‍👩‍👧", "", "Nghị định 5/2020"]
+KEPT = ["می\u200cخواهم", "क्\u200dष", "ГОСТ α Ω", "m² ½ – “x”", "a\nb\t  c", "日本語。", "👨‍👩‍👧", "", "Nghị định 5/2020"]
 
 
 @pytest.mark.parametrize("text", SAME)
@@ -35,6 +35,10 @@ def test_one_form_is_final(text):
     assert one_form(form) == form == unicodedata.normalize("NFC", form)
 
 
+def test_joiners_elsewhere_are_invisible():
+    assert one_form("t\u200cin می\u200cخواهم t\u200din \u200cمی\u200c") == "tin می\u200cخواهم tin می"
+
+
 def test_conflicts_are_found():
     with pytest.raises(transducer.ConflictError):
         transducer.Transducer({"a": "b"}, {"a": "c"})
@@ -260,3 +264,32 @@ def test_stamps_of_any_length(spark):
     cut = [(500 + i, (f"Phần {i:03d}. " + text * 4)[:200]) for i in range(8)]
     stamped = [(600 + i, (f"Mục {i:03d}. " + text * 4)[:200] + (stamp if i % 2 else stamp.strip())) for i in range(6)]
     assert found_truncated(spark, [*body, *cut, *stamped]) == {i for i, _ in [*cut, *stamped]}
+
+
+def test_ratio_equals_brute_force(spark, folder, duck):
+    """Every record's five terms of highest log-likelihood ratio, from entropies instead of the operator's formula."""
+    from docloom.llm import queries
+
+    rows = duck.sql("SELECT id, min(passage) FROM raw_contexts WHERE regexp_matches(passage, '[^\\s\\x{a0}\\x{ad}\\x{2000}-\\x{200d}\\x{3000}\\x{feff}]') GROUP BY id").fetchall()
+    counts = {i: Counter(words.accented_terms(t)) for i, t in rows}
+    whole = sum(counts.values(), Counter())
+    total = whole.total()
+
+    def entropy(*ks):
+        n = sum(ks)
+        return -sum(k / n * math.log(k / n) for k in ks if k)
+
+    def ratio(k, own, all_):
+        a, b, c, d = k, own - k, all_ - k, total - own - all_ + k
+        g2 = 2 * total * (entropy(a + b, c + d) + entropy(a + c, b + d) - entropy(a, b, c, d))
+        return math.copysign(max(g2, 0), a * d - b * c) if a * d != b * c else 0.0
+
+    got = {}
+    for r in queries.p7_llr(spark, folder).collect():
+        got.setdefault(r.id, []).append((r.rank, r.term, r.llr))
+    for i, terms in counts.items():
+        own = terms.total()
+        best = sorted((ratio(k, own, whole[t]) for t, k in terms.items()), reverse=True)[:5]
+        rows_ = sorted(got.get(i, []))
+        assert [x for _, _, x in rows_] == pytest.approx(best, abs=2e-4)
+        assert all(x == pytest.approx(ratio(terms[t], own, whole[t]), abs=2e-4) for _, t, x in rows_)
