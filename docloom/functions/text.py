@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StringType
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
 CRAWLER_LEFTOVERS = ("quý khách vui lòng đăng nhập", "đăng nhập để xem", "rò rỉ mật khẩu", "vui lòng đăng nhập để", "đăng nhập để tiếp tục")
+LINK_FOLDERS = r"^[a-z]+://[^/]+/([a-z\-]+)/([a-z\-]+)/"
 EDGE_PUNCTUATION = ".,;:()[]{}\"'“”‘’…-–—/\\!?*"
 
 
@@ -73,6 +74,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
+def plain_words(text: Column, least: int = 3) -> Column:
+    """The different words without accents, in lower case, of at least so many characters; a slug's hyphens part words."""
+    bare = strip_diacritics(F.lower(F.coalesce(text, F.lit(""))))
+    return F.array_distinct(F.filter(F.regexp_extract_all(bare, F.lit(f"({WORD}+)"), 1), lambda w: F.length(w) >= least))
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
@@ -92,9 +99,10 @@ def is_blank(text: Column) -> Column:
 
 
 def link_domain(link: Column) -> Column:
-    """Host and first folder of a link in lower case; ? where there is none."""
-    found = F.regexp_extract(F.lower(F.trim(F.coalesce(link, F.lit("")))), r"^https?://([^/]+)/?([^/.]*)", 0)
-    return F.when(found == "", F.lit("?")).otherwise(found)
+    """The first two folders of a link, of small letters and hyphens, as a field of law; ? where it hasn't two."""
+    link = F.coalesce(link, F.lit(""))
+    first, second = (F.regexp_extract(link, LINK_FOLDERS, i) for i in (1, 2))
+    return F.when(first == "", F.lit("?")).otherwise(F.concat_ws("/", first, second))
 
 
 def tone_pairs() -> list[tuple[str, str]]:
@@ -113,8 +121,10 @@ def fold_tones(text: Column) -> Column:
     return text
 
 
+# Document codes as the head of a text states them, as texts cite them, and as slugs spell them.
 CODE = r"[0-9]{1,5}[A-ZĐ]*\s*/\s*(?:[0-9]{4}\s*/\s*)?[A-ZĐ]{2,}[a-z]*(?:\s*-\s*[A-ZĐ]+[a-z]*)*"
-CITED_CODE = r"(?<![\p{L}\p{N}_])([0-9]{1,5}[A-ZĐ]*/[0-9]{4}/[A-ZĐ]{2,}[a-z]*(?:-[A-ZĐ]+[a-z]*)*)(?![\p{L}\p{N}_])"
+CITED = r"[0-9]{1,5}[A-ZĐ]*/[0-9]{4}/[A-ZĐ]{2,}[a-z]*(?:-[A-ZĐ]+[a-z]*)*"
+CITED_CODE = rf"(?<![\p{{L}}\p{{N}}_])({CITED})(?![\p{{L}}\p{{N}}_])"
 SLUG_CODE = r"(?:^|-)(\d{1,5})-(\d{4})-([A-Za-zĐđ]{2,}(?:-[A-Za-zĐđ]+)*?)(?=-[a-zđ]{2,}-|$)"
 
 
@@ -145,9 +155,3 @@ def title(text: Column, max_words: int = 30) -> Column:
     tail = F.regexp_replace(F.regexp_replace(tail, rf"(?s){TITLE_STOP}.*$", ""), BOILERPLATE, " ")
     name = F.trim(F.array_join(F.slice(words(tail), 1, max_words), " "), F.lit(" .,;:-"))
     return F.when(name != "", F.trim(F.concat_ws(" ", F.regexp_replace(code, r"\s+", ""), name)))
-
-
-def percentile_at(values: Column, share: float) -> Column:
-    """The custom percentile of an array of values."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * F.lit(share)).cast("int")))

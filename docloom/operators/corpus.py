@@ -17,12 +17,22 @@ from docloom.session import materialize
 SET_BLOCK, SET_WORDS, SET_PARTS = 2_000, 1_024, 16
 
 
+def first_delivery(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of every key in ``order``, nulls first; of rows equal in that any one.
+
+    The smallest is kept while rows are combined, before and after their shuffle; nothing is sorted by key and no group is
+    gathered."""
+    others = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__first"))
+    return first.select(key, "__first.*").select(*rows.columns)
+
+
 def clean_records(raw: DataFrame) -> DataFrame:
     """Rows ``doc_id, name, link, text`` of raw documents ``id, name, link, passage``.
 
     Of rows delivered again the first by load time, then file, counts. Ids become text; a missing name or link is empty,
     links are lower case; a null passage is empty text."""
-    first = rank_within(raw, ["id"], [F.col("loaded_at"), F.col("source_file")], 1, "__n") if "loaded_at" in raw.columns else raw
+    first = first_delivery(raw, "id", ["loaded_at", "source_file"]) if "loaded_at" in raw.columns else raw
     return first.select(
         F.col("id").cast("string").alias("doc_id"),
         F.trim(F.coalesce("name", F.lit(""))).alias("name"),
@@ -58,6 +68,7 @@ def duplicate_groups(corpus: DataFrame) -> DataFrame:
     """Rows ``doc_id, group_key, group_size`` of documents that share their normalized text with others; empty texts
     aren't duplicates. Only hashes are shuffled; sizes are combined first, so a text copied everywhere is no hot task."""
     keyed = corpus.where(~tx.is_blank(F.col("text"))).select("doc_id", tx.duplicate_key(F.col("text")).alias("group_key"))
+    keyed = materialize(keyed, "keys")  # both sides of the join read it, and cleaning the texts twice costs more
     sizes = keyed.groupBy("group_key").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return keyed.join(sizes, "group_key").select("doc_id", "group_key", "group_size")
 
@@ -106,20 +117,42 @@ def longest_texts(corpus: DataFrame, most: int = 10) -> DataFrame:
     return corpus.select("doc_id", tx.word_count(F.col("text")).alias("words")).orderBy(F.col("words").desc(), "doc_id").limit(most)
 
 
-def pollution(corpus: DataFrame, keywords: tuple[str, ...] = tx.CRAWLER_LEFTOVERS, context: int = 40) -> DataFrame:
-    """Rows ``doc_id, keyword, excerpt``: the first keyword, in their order, that a text holds, with its surroundings."""
+# Words wider than the crawler leftovers, to find unknown kinds of them, and how much is shown around one.
+BROAD_KEYWORDS = ("đăng nhập", "mật khẩu", "quý khách", "rời quầy", "tài khoản của bạn")
+BEFORE, AFTER = 60, 150
+
+
+def pollution(corpus: DataFrame) -> DataFrame:
+    """Rows ``doc_id, keyword, known_pattern, context`` of cleaned texts: the first broad keyword, in their order, that a
+    text holds, whether it also holds a known leftover, and what surrounds the keyword."""
     low = F.lower("text")
-    found = F.coalesce(*(F.when(low.contains(k), F.lit(k)) for k in keywords))
-    rows = corpus.select("doc_id", found.alias("keyword"), low.alias("low")).where("keyword is not null")
-    start = F.greatest(F.instr(F.col("low"), F.col("keyword")) - context, F.lit(1))
-    return rows.select("doc_id", "keyword", F.substring("low", start, F.instr(F.col("low"), F.col("keyword")) - start + F.length("keyword") + context).alias("excerpt"))
+    found = F.coalesce(*(F.when(low.contains(k), F.lit(k)) for k in BROAD_KEYWORDS))
+    known = F.lit(False)
+    for leftover in tx.CRAWLER_LEFTOVERS:
+        known = known | low.contains(leftover)
+    rows = corpus.select("doc_id", found.alias("keyword"), known.alias("known_pattern"), "text", low.alias("low")).where("keyword is not null")
+    at = F.instr(F.col("low"), F.col("keyword"))
+    start = F.greatest(at - BEFORE, F.lit(1))
+    return rows.select("doc_id", "keyword", "known_pattern", F.substring("text", start, at + AFTER - start).alias("context"))
 
 
-def with_titles(chunks: DataFrame, titles: DataFrame) -> DataFrame:
-    """Chunks with their document's title in front, unless it stands in the first 300 characters already."""
+def _titled(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     rows = chunks.join(titles, "doc_id", "left")
     there = F.instr(F.substring("text", 1, 300), F.substring("title", 1, 40)) > 0
-    return rows.withColumn("text", F.when(F.col("title").isNull() | there, F.col("text")).otherwise(F.concat_ws(" ", "title", "text"))).drop("title")
+    return rows.withColumn("state", F.when(F.col("title").isNull(), "none").when(there, "there").otherwise("added"))
+
+
+def with_titles(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """Chunks with their document's title in front, unless it stands in the first 300 characters already."""
+    added = F.concat(F.col("title"), F.lit(". "), F.col("text"))
+    return _titled(chunks, titles).withColumn("text", F.when(F.col("state") == "added", added).otherwise(F.col("text"))).drop("title", "state")
+
+
+def title_statistics(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """One row: chunks, those that get a title, have it already or have none, the share that gets one, and titles."""
+    counts = _titled(chunks, titles).agg(F.count("*").alias("chunks"), *(F.count_if(F.col("state") == s).alias(a) for s, a in (("added", "prepended"), ("there", "already_had"), ("none", "no_title"))))
+    share = F.round(F.coalesce(F.try_divide("prepended", "chunks"), F.lit(0.0)), 4)
+    return counts.withColumn("share_prepended", share).join(F.broadcast(titles.agg(F.count("*").alias("documents_with_title"))))
 
 
 def _question_words(questions: DataFrame) -> DataFrame:
@@ -131,7 +164,15 @@ def _gold_status(ga: str, gb: str) -> Column:
     return F.when(same, "AGREE").when(F.size(F.array_intersect(ga, gb)) > 0, "NESTED").otherwise("DISJOINT")
 
 
-def question_pairs(questions: DataFrame, threshold: float, frequent: float = 0.02, stop: tuple[str, ...] = (), block: int = 200) -> DataFrame:
+# Words that say nothing about a question.
+QUESTION_STOP = (
+    "là", "gì", "nào", "được", "của", "và", "có", "cho", "trong", "khi", "thì",
+    "các", "những", "về", "với", "theo", "quy", "định", "như", "thế", "ai",
+    "bao", "lâu", "nhiêu", "phải", "không", "này", "đó", "một", "người",
+)
+
+
+def question_pairs(questions: DataFrame, threshold: float, frequent: float = 0.02, stop: tuple[str, ...] = QUESTION_STOP, block: int = 200) -> DataFrame:
     """Rows ``qid_a, qid_b, similarity, status`` of questions whose sets of words (longer than one character) share at
     least ``threshold`` of their union, found through rare words.
 
@@ -211,3 +252,12 @@ def all_question_pairs(questions: DataFrame, threshold: float) -> DataFrame:
     equal = a.join(b, F.col("x") == F.col("y")).where("qx < qy").withColumn("similarity", F.lit(1.0))
     both = found.join(a, "x").join(b, "y").unionByName(equal)
     return both.select(F.least("qx", "qy").alias("qid_a"), F.greatest("qx", "qy").alias("qid_b"), F.round("similarity", 3).alias("similarity"), _gold_status("gx", "gy").alias("status"))
+
+
+def name_passage_overlap(raw: DataFrame) -> DataFrame:
+    """One row: files whose document has no name, those with a blank passage, those with both, and their percentage of
+    the blank ones."""
+    files = raw.where("source_file is not null").groupBy("source_file")
+    rows = files.agg(F.bool_or(F.col("name").isNull()).alias("n"), F.bool_or(F.col("passage").isNotNull() & tx.is_blank(F.col("passage"))).alias("p"))
+    counts = rows.agg(F.count_if("n").alias("missing_names"), F.count_if("p").alias("empty_passages"), F.count_if(F.col("n") & F.col("p")).alias("both"))
+    return counts.withColumn("share_of_empty", F.round(100 * F.col("both") / F.greatest("empty_passages", F.lit(1)), 1))

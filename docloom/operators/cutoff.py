@@ -120,3 +120,31 @@ def fit_threshold(swept: DataFrame, budget: float) -> DataFrame:
     """One row: the smallest threshold whose recall is within ``budget`` of the best recall."""
     base = swept.agg(F.max("recall").alias("base"))
     return swept.join(F.broadcast(base), F.col("recall") >= F.col("base") - budget).agg(F.min("theta").alias("theta"))
+
+
+def scores_from(ranking: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows ``qid, doc_id, rank, score, missing``: the order of one ranking with the scores of another; a document that the
+    other lacks gets minus infinity."""
+    other = scores.select("qid", "doc_id", F.col("score").alias("other"))
+    rows = ranking.select("qid", "doc_id", "rank").join(other, ["qid", "doc_id"], "left")
+    return rows.select("qid", "doc_id", "rank", F.coalesce("other", F.lit(float("-inf"))).alias("score"), F.col("other").isNull().alias("missing"))
+
+
+def precision_under_budget(ranking: DataFrame, gold: DataFrame, thresholds: list[float], budget: float, rule: str = "cascade", mode: str = "spread", max_docs: int = 5, decimals: int = 6) -> DataFrame:
+    """Rows ``t, recall, precision, feasible, chosen`` of a cut rule at each threshold: feasible if the recall is at most
+    ``budget`` below that of submitting ``max_docs``, chosen if its precision is the highest of those (of equal ones the
+    smallest threshold). The gaps are computed once; thresholds are a stated list."""
+    head = ranking.where(F.col("rank") <= max_docs)
+    lists = _lists(head).withColumn("m", F.transform(mode_margins(F.col("scores"), mode, 1.0), lambda x: F.round(x, 9)))
+    documents = head.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("d"))
+    grid = F.explode(F.array(F.lit(None).cast("double"), *(F.lit(float(t)) for t in thresholds)))
+    rows = lists.join(documents, "qid").join(gold, "qid").select("d", "m", "answer", grid.alias("t"))
+    hits = F.filter(F.transform("m", lambda x, i: F.when(x > F.col("t"), i + 1)), lambda x: x.isNotNull())
+    count = F.coalesce(F.get(hits, F.lit(0)), F.size("d")) if rule == "cascade" else F.when(F.get("m", F.lit(0)) > F.col("t"), 1).otherwise(F.size("d"))
+    rows = rows.withColumn("n", F.least(F.when(F.col("t").isNull(), F.size("d")).otherwise(count), F.size("d")))
+    shared = F.size(F.array_intersect("answer", F.transform(F.slice("d", F.lit(1), F.col("n")), lambda x: x["doc_id"])))
+    means = rows.groupBy("t").agg(F.round(F.avg(shared / F.size(F.array_distinct("answer"))), decimals).alias("recall"), F.round(F.avg(shared / F.col("n")), decimals).alias("precision"))
+    base = means.where("t is null").select(F.col("recall").alias("base"))
+    rows = means.where("t is not null").join(F.broadcast(base)).withColumn("feasible", F.col("recall") >= F.col("base") - budget)
+    best = rows.where("feasible").agg(F.max_by("t", F.struct("precision", -F.col("t"))).alias("best"))
+    return rows.join(F.broadcast(best)).select("t", "recall", "precision", "feasible", F.coalesce(F.col("t") == F.col("best"), F.lit(False)).alias("chosen"))

@@ -77,9 +77,10 @@ def vote_domain(ranking: DataFrame, domains: DataFrame, depth: int = 10, decimal
 
 
 def apply_domain(ranking: DataFrame, domains: DataFrame, chosen: DataFrame, boost: float | None = None, decimals: int = 6) -> DataFrame:
-    """Only documents of the chosen domain, or with ``boost`` all, theirs at ``1 + boost`` times the score."""
+    """Only documents of the chosen domain, or with ``boost`` all, theirs at ``1 + boost`` times the score. A document
+    that has no row in ``domains`` votes for ?, but is of no domain itself."""
     rows = ranking.join(domains, "doc_id", "left").join(chosen.withColumnRenamed("domain", "chosen"), "qid")
-    fits = F.coalesce(F.col("domain"), F.lit("?")) == F.col("chosen")
+    fits = F.coalesce(F.col("domain") == F.col("chosen"), F.lit(False))
     if boost is None:
         rows = rows.where(fits)
         return rank_within(rows.select("qid", "doc_id", "score", F.col("rank").alias("old_rank")), ["qid"], [F.col("old_rank")])

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -15,12 +15,13 @@ from docloom.operators.components import connected_components
 # What tells an amendment from a citation, and how far before it.
 AMENDMENTS = ("sửa đổi", "bổ sung", "thay thế", "bãi bỏ", "hết hiệu lực", "hợp nhất")
 AMEND_WINDOW = 120
-_CITED = re.compile(r"\b([0-9]{1,5}[A-ZĐ]*/[0-9]{4}/[A-ZĐ]{2,}[a-z]*(?:-[A-ZĐ]+[a-z]*)*)\b")
+_CITED = re.compile(rf"\b({tx.CITED})\b")
 _AMENDS = re.compile("|".join(AMENDMENTS), re.I)
 
 
 def document_codes(corpus: DataFrame) -> DataFrame:
-    """Rows ``code, doc_id``: whose own code it is; the smallest id where several claim it."""
+    """Rows ``code, doc_id``: whose own code it is; where several claim it, the first in the order of the corpus, which is
+    that of its files' names and so of the ids as text."""
     rows = corpus.select("doc_id", tx.own_code(F.col("name"), F.col("text")).alias("code")).where("code is not null")
     return rows.groupBy("code").agg(F.min("doc_id").alias("doc_id"))
 
@@ -114,3 +115,24 @@ def cited_by_question(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 def title_table(corpus: DataFrame) -> DataFrame:
     """Rows ``doc_id, title`` of documents whose head names their kind."""
     return corpus.select("doc_id", tx.title(F.col("text")).alias("title")).where("title is not null")
+
+
+def reach_probe(ranking: DataFrame, gold: DataFrame, edges: DataFrame, depth: int = 5, hops: int = 1) -> DataFrame:
+    """One row ``questions, hit, reach_any, reach_top1, median_added``: ranked questions, those with a gold document in the
+    first ``depth``, the missed ones with a gold document near those or near the first, and the upper median of how many
+    documents the neighbourhoods add."""
+    none = F.array().cast("array<string>")
+    head = ranking.where(F.col("rank") <= depth).join(gold.select("qid"), "qid", "left_semi")
+    lists = head.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("d")).select("qid", F.transform("d", lambda x: x["doc_id"]).alias("d"))
+    asked = gold.join(lists, "qid").withColumn("missed", F.size(F.array_intersect("answer", "d")) == 0)
+    seeds = head.join(asked.where("missed").select("qid"), "qid", "left_semi").select("qid", "rank", "doc_id")
+    near = neighbours(edges, seeds.select("doc_id"), hops).select(F.col("seed").alias("doc_id"), F.col("doc_id").alias("near"))
+    reached = seeds.join(near, "doc_id").groupBy("qid").agg(F.collect_set("near").alias("near"), F.collect_set(F.when(F.col("rank") == 1, F.col("near"))).alias("near1"))
+    rows = asked.join(reached, "qid", "left").select("answer", "d", "missed", *(F.coalesce(c, none).alias(c) for c in ("near", "near1")))
+    added = F.when(F.col("missed"), F.size(F.array_except("near", "d")))
+    hit = lambda c: F.coalesce(F.col("missed") & (F.size(F.array_intersect("answer", c)) > 0), F.lit(False))
+    counts = rows.agg(F.count("*").alias("questions"), F.count_if(~F.col("missed")).alias("hit"), F.count_if(hit("near")).alias("reach_any"), F.count_if(hit("near1")).alias("reach_top1"))
+    sizes = rows.where("missed").groupBy(added.alias("n")).agg(F.count("*").alias("k"))
+    order = sizes.select("n", F.sum("k").over(Window.orderBy("n")).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("all"))
+    middle = order.agg(F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))), F.lit(0)).alias("median_added"))
+    return counts.join(F.broadcast(middle))

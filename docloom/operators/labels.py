@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators.bm25 import rank_within
+from docloom.operators.corpus import first_delivery
 
 
 def distinct_questions(rows: DataFrame) -> DataFrame:
     """Questions without repeated deliveries: the first by time counts."""
-    return rank_within(rows, ["qid"], [F.col("asked_at")], 1, "__n").drop("__n")
+    return first_delivery(rows, "qid", ["asked_at"])
 
 
 def labelled(rows: DataFrame) -> DataFrame:
@@ -56,11 +57,21 @@ def broken_gold(questions: DataFrame, corpus: DataFrame, short: int = 200) -> Da
     return rows.select("qid", "doc_id", problem.alias("problem")).where("problem is not null")
 
 
-def suspicious_gold(questions: DataFrame, corpus: DataFrame, short: int = 2500, markers: str = "đính kèm|phụ lục|ban hành kèm") -> DataFrame:
-    """Rows ``doc_id, flag, questions``: gold documents that may be cut, being short or announcing an attachment."""
-    gold = questions.select("qid", F.explode("answer").alias("doc_id")).groupBy("doc_id").agg(F.count_distinct("qid").alias("questions"))
-    flag = F.when(F.col("text").rlike(f"(?iu){markers}"), "ATTACH").when(F.length("text") < short, "SHORT")
-    return gold.join(corpus, "doc_id").select("doc_id", flag.alias("flag"), "questions").where("flag is not null")
+# What announces that the content is in an attached file.
+ATTACH_MARKERS = ("FILE ĐƯỢC ĐÍNH KÈM", "FILE ĐÍNH KÈM")
+
+
+def suspicious_gold(questions: DataFrame, corpus: DataFrame, short: int = 2500) -> DataFrame:
+    """Rows ``qid, doc_id, chars, flags``: gold documents of a question that may be cut, being shorter than ``short``
+    characters (SHORT) or naming an attached file (ATTACH), or both (SHORT+ATTACH). The documents are flagged before the
+    join, so no text is moved."""
+    capitals = F.upper("text")
+    attached = F.lit(False)
+    for marker in ATTACH_MARKERS:
+        attached = attached | capitals.contains(marker)
+    flags = F.concat_ws("+", F.when(F.length("text") < short, "SHORT"), F.when(attached, "ATTACH"))
+    flagged = corpus.select("doc_id", F.length("text").alias("chars"), flags.alias("flags")).where("flags <> ''")
+    return questions.select("qid", F.explode("answer").alias("doc_id")).join(flagged, "doc_id").select("qid", "doc_id", "chars", "flags")
 
 
 def overloaded(frequency: DataFrame, least: int = 10, most: int = 20) -> DataFrame:
@@ -85,3 +96,24 @@ def keep_of_duplicates(groups: DataFrame, questions: DataFrame) -> DataFrame:
     smallest = F.min(F.struct(F.length("doc_id").alias("l"), F.col("doc_id").alias("d")))["d"]
     kept = F.when(F.count("g") == 0, smallest).when(F.count("g") == 1, F.min(F.when(F.col("g") == 1, F.col("doc_id"))))
     return rows.groupBy("group_key").agg(F.count("g").alias("gold_members"), kept.alias("keep"))
+
+
+def question_lengths(questions: DataFrame) -> DataFrame:
+    """One row: mean, smallest and largest number of words of questions that have any, and how many have two or fewer."""
+    words = questions.select(tx.word_count(F.coalesce("question", F.lit(""))).alias("w"))
+    some = F.when(F.col("w") > 0, F.col("w"))
+    return words.agg(F.round(F.avg(some), 1).alias("mean"), F.min(some).alias("least"), F.max("w").alias("most"), F.count_if(F.col("w") <= 2).alias("short"))
+
+
+def duplicate_statistics(questions: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: groups of equal passages and of equal links with their documents, questions with several gold documents,
+    those with several in one group, and those whose gold has a copy that isn't gold, also in percent."""
+    gold = questions.select("qid", F.explode("answer").alias("doc_id"))
+    met = gold.join(groups, "doc_id").groupBy("qid", "group_key").agg(F.count("*").alias("inside"), F.max("group_size").alias("size"))
+    per = met.groupBy("qid").agg(F.max("inside").alias("most"), F.bool_or(F.col("inside") < F.col("size")).alias("risk"))
+    passages = groups.agg(F.count_distinct("group_key").alias("passage_groups"), F.count("*").alias("passage_documents"))
+    linked = links.agg(F.count("*").alias("link_groups"), F.coalesce(F.sum("documents"), F.lit(0)).alias("link_documents"))
+    asked = questions.agg(F.count("*").alias("all"), F.count_if(F.size("answer") > 1).alias("multi_answer_questions"))
+    found = per.agg(F.count_if(F.col("most") > 1).alias("several_gold_in_a_group"), F.count_if("risk").alias("questions_at_risk"))
+    row = passages.join(F.broadcast(linked)).join(F.broadcast(asked)).join(F.broadcast(found))
+    return row.withColumn("percent_at_risk", F.round(100 * F.col("questions_at_risk") / F.col("all"), 2)).drop("all")

@@ -89,6 +89,7 @@ def diagnose(predicted: DataFrame, corpus_ids: DataFrame) -> DataFrame:
         repeated.alias("repeated"),
         F.count_if(F.size("answer") > MAX_ANSWERS).alias("too_many"),
         F.count_if(F.size("answer") == 0).alias("empty"),
+        F.count_if(F.exists("answer", lambda a: a.isNull() | (F.trim(a) != a) | (a == ""))).alias("odd_ids"),
         F.round(F.avg(F.size("answer")), 6).alias("mean_answers"),
     )
     return counts.join(F.broadcast(unknown))
@@ -122,21 +123,50 @@ def compare_runs(a: DataFrame, b: DataFrame, gold: DataFrame, ks: list[int]) ->
 
 
 def agreement(a: DataFrame, b: DataFrame, depths: list[int]) -> DataFrame:
-    """Rows ``depth, questions, same_lists, same_sets`` over the questions both rankings have."""
+    """Rows ``depth, questions, same_lists, same_sets, first_divergence`` over the questions both rankings have; the last
+    is the first rank at which any two lists differ."""
     la, lb = top_lists(a, max(depths)).withColumnRenamed("answer", "x"), top_lists(b, max(depths)).withColumnRenamed("answer", "y")
     rows = la.join(lb, "qid").select("x", "y", F.explode(F.array(*(F.lit(d) for d in depths))).alias("depth"))
     rows = rows.select("depth", F.slice("x", F.lit(1), F.col("depth")).alias("x"), F.slice("y", F.lit(1), F.col("depth")).alias("y"))
-    return rows.groupBy("depth").agg(F.count("*").alias("questions"), F.count_if(F.col("x") == F.col("y")).alias("same_lists"), F.count_if(F.array_sort("x") == F.array_sort("y")).alias("same_sets"))
+    return rows.groupBy("depth").agg(F.count("*").alias("questions"), F.count_if(F.col("x") == F.col("y")).alias("same_lists"), F.count_if(F.array_sort("x") == F.array_sort("y")).alias("same_sets"), F.min(_first_difference("x", "y")).alias("first_divergence"))
+
+
+def _first_difference(a: str, b: str) -> Column:
+    """The first place at which two arrays differ, from 1; null if they don't."""
+    longest = F.greatest(F.size(a), F.size(b))
+    same = F.transform(F.sequence(F.lit(0), longest), lambda i: (i < longest) & F.get(a, i).eqNullSafe(F.get(b, i)))
+    place = F.array_position(same, F.lit(False))
+    return F.when(place <= longest, place).cast("int")
+
+
+def cap_equivalence(full: DataFrame, capped: DataFrame, gold: DataFrame, top: int, k: int, decimals: int = 4) -> DataFrame:
+    """One row: questions, those whose list or set of the first ``top`` documents a cap changes, and the recall at ``k``
+    and ``top`` of both rankings."""
+    a, b = (top_lists(r, top).withColumnRenamed("answer", n) for r, n in ((full, "x"), (capped, "y")))
+    both = a.join(b, "qid").agg(F.count("*").alias("questions"), F.count_if(F.col("x") != F.col("y")).alias("list_diff"), F.count_if(F.array_sort("x") != F.array_sort("y")).alias("set_diff"))
+    for ranking, name in ((full, "full"), (capped, "capped")):
+        recalls = recall_per_question(ranking, gold, [k, top])
+        both = both.join(F.broadcast(recalls.agg(*(F.round(F.avg(F.when(F.col("k") == d, F.col("recall"))), decimals).alias(f"recall_{d}_{name}") for d in (k, top)))))
+    return both
 
 
 def failure_modes(ranking: DataFrame, gold: DataFrame, near: int = 5, far: int = 50) -> DataFrame:
-    """Rows ``qid, mode``: OK if the near ranks have all gold documents there are in the far ones, MISS_NEAR if some are
-    only in the far ones, MISS_FAR if some are in neither."""
+    """Rows ``qid, mode``: OK if the near ranks have all gold documents, MISS50 if the far ranks have none, else MISS5."""
     lists = top_lists(ranking, far).withColumnRenamed("answer", "got")
     rows = gold.join(lists, "qid", "left").select("qid", "answer", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
-    beyond = F.size(F.array_except("answer", "got"))
     missed = F.size(F.array_except("answer", F.slice("got", 1, near)))
-    return rows.select("qid", F.when(beyond > 0, "MISS_FAR").when(missed > 0, "MISS_NEAR").otherwise("OK").alias("mode"))
+    found = F.size(F.array_intersect("answer", "got"))
+    return rows.select("qid", F.when(missed == 0, "OK").when(found == 0, "MISS50").otherwise("MISS5").alias("mode"))
+
+
+def failure_sample(modes: DataFrame, wanted: dict[str, int], decimals: int = 6) -> DataFrame:
+    """Rows ``mode, questions, taken, rescale``: how many questions of each wanted mode a sample takes, and the factor that
+    brings its share in the sample back to that among all questions."""
+    all_ = modes.agg(F.count("*").alias("all"))
+    take = F.coalesce(*(F.when(F.col("mode") == m, F.lit(n)) for m, n in wanted.items()))
+    counts = modes.groupBy("mode").agg(F.count("*").alias("questions")).where(take.isNotNull()).withColumn("taken", F.least(F.col("questions"), take))
+    share = F.try_divide(F.col("questions") * sum(wanted.values()), F.col("all") * F.col("taken"))
+    return counts.join(F.broadcast(all_)).select("mode", "questions", "taken", F.round(share, decimals).alias("rescale"))
 
 
 def ranking_contract(ranking: DataFrame, top: int) -> DataFrame:

@@ -81,6 +81,12 @@ def integrity(split: DataFrame) -> DataFrame:
     return by_question.join(F.broadcast(by_group)).join(F.broadcast(sizes))
 
 
+def exclude_questions(questions: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The questions that no row of ``broken`` (qid) names, and the others."""
+    bad = broken.select("qid").distinct()
+    return questions.join(bad, "qid", "left_anti"), questions.join(bad, "qid", "left_semi")
+
+
 def not_nested(small: DataFrame, large: DataFrame) -> DataFrame:
     """Questions of a subset that its superset lacks."""
     return small.join(large, "qid", "left_anti")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,36 +24,37 @@ def paired_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("qid", (F.col("rb") - F.col("ra")).alias("diff"))
 
 
-def bootstrap_interval(diffs: DataFrame, resamples: int = 10_000, seed: int = 42, strata: int = 1000) -> DataFrame:
+def bootstrap_interval(diffs: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """One row ``mean, low, high``: the mean difference and its 95 % interval by a Poisson bootstrap.
 
-    Every question enters every resample with a Poisson(1) weight from a hash of question and resample, so resampling is
-    a sum by resample that is combined on the map side; nothing but ``resamples`` numbers is ever gathered."""
-    weight = _poisson(F.pmod(F.xxhash64("qid", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
-    rows = diffs.select("qid", "diff", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
-    means = rows.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w")).alias("m")).where("m is not null")
+    Every question enters every resample with a Poisson(1) weight. Questions of equal difference enter a resample with the
+    sum of their weights, a Poisson number of their count, so what is spread over the resamples is the histogram of
+    differences (few values, as recalls are shares of a few documents), not the questions."""
+    counts = diffs.groupBy(F.round("diff", 12).alias("diff")).agg(F.count("*").alias("n"))
+    rows = counts.select("diff", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    means = rows.mapInArrow(partial(_resampled, seed=seed), "b int, weighted double, weight double").groupBy("b")
+    means = means.agg(F.try_divide(F.sum("weighted"), F.sum("weight")).alias("m")).where("m is not null")
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
     bounds = ordered.select(F.get("m", F.floor(F.size("m") * 0.025).cast("int")).alias("low"), F.get("m", F.floor(F.size("m") * 0.975).cast("int")).alias("high"))
     return diffs.agg(F.avg("diff").alias("mean")).join(F.broadcast(bounds))
 
 
-def _poisson(u: Column) -> Column:
-    """A Poisson(1) number from a uniform one."""
-    out, total, term = F.when(F.lit(False), 0), 0.0, 2.718281828459045**-1
-    for k in range(9):
-        total += term
-        out = out.when(u < total, k)
-        term /= k + 1
-    return out.otherwise(9)
+def _resampled(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """A Poisson number for every difference, count and resample, the same wherever it is drawn."""
+    for batch in batches:
+        diff, n, b = (c.to_numpy() for c in batch.columns)
+        keys = zip(diff.view(np.int64).tolist(), b.tolist())
+        weight = np.array([np.random.default_rng([seed, d & 0xFFFFFFFF, (d >> 32) & 0xFFFFFFFF, r]).poisson(k) for (d, r), k in zip(keys, n.tolist())], float)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(weight * diff), pa.array(weight)], ["b", "weighted", "weight"])
 
 
 def mcnemar(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row ``wins, losses, ties, chi2, p_value`` of b against a by whether a question has any hit, with continuity
-    correction; p is 1 where nothing differs."""
-    both = a.select("qid", (F.col("recall") > 0).alias("x")).join(b.select("qid", (F.col("recall") > 0).alias("y")), "qid")
-    counts = both.agg(F.count_if(~F.col("x") & F.col("y")).alias("wins"), F.count_if(F.col("x") & ~F.col("y")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"))
+    """One row ``wins, losses, ties, chi2, p_value`` of b against a by the questions whose recall rose or fell, with
+    continuity correction; p is 1 where nothing differs."""
+    both = a.select("qid", F.col("recall").alias("x")).join(b.select("qid", F.col("recall").alias("y")), "qid")
+    counts = both.agg(F.count_if(F.col("y") > F.col("x")).alias("wins"), F.count_if(F.col("y") < F.col("x")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"))
     n = F.col("wins") + F.col("losses")
-    chi2 = F.coalesce(F.try_divide(F.pow(F.greatest(F.abs(F.col("wins") - F.col("losses")) - 1, F.lit(0)), 2), n), F.lit(0.0))
+    chi2 = F.coalesce(F.try_divide(F.pow(F.abs(F.col("wins") - F.col("losses")) - 1, F.lit(2)), n), F.lit(0.0))
     return counts.withColumn("chi2", F.round(chi2, 6)).withColumn("p_value", F.round(chi_square_p(F.col("chi2")), 6))
 
 
@@ -74,7 +79,10 @@ def stratified_sample(rows: DataFrame, key: str, stratum: str, size: int, seed:
     quota = counts.select(stratum, "n", F.floor(F.col("n") * size / total + 0.5).alias("q"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.col(stratum))).alias("place"))
     fixed = F.col("q") + F.when(F.col("place") == 1, size - F.sum("q").over(Window.partitionBy())).otherwise(0)
     quota = quota.select(stratum, fixed.alias("quota"))
-    ordered = rank_within(rows, [stratum], [stable_order(key, seed), F.col(key)], None, "place")
+    # no stratum needs more than the sample's size, so each is ranked in parts first and no task sorts a whole one
+    parts = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    first = rank_within(parts, [stratum, "__salt"], [stable_order(key, seed), F.col(key)], size, "__place").drop("__salt", "__place")
+    ordered = rank_within(first, [stratum], [stable_order(key, seed), F.col(key)], size, "place")
     return ordered.join(F.broadcast(quota), stratum).where(F.col("place") <= F.col("quota")).drop("place", "quota")
 
 

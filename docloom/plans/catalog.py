@@ -121,24 +121,26 @@ def longest_texts(spark, d):
     return corpus.longest_texts(clean(spark, d))
 
 
-@query(f"""WITH {q.RAW}, d AS (SELECT regexp_extract(lower(trim(coalesce(link, ''))), '^https?://([^/]+)/?([^/.]*)') AS m FROM raw)
-    SELECT CASE WHEN m = '' THEN '?' ELSE m END AS domain, count(*) AS documents FROM d GROUP BY 1""")
+_LINK_FOLDERS = r"^[a-z]+://[^/]+/([a-z\-]+)/([a-z\-]+)/"
+_LINK_DOMAIN = f"CASE WHEN regexp_matches(link, '{_LINK_FOLDERS}') THEN regexp_extract(link, '{_LINK_FOLDERS}', 1) || '/' || regexp_extract(link, '{_LINK_FOLDERS}', 2) ELSE '?' END"
+
+
+@query(f"WITH {q.CORPUS} SELECT {_LINK_DOMAIN} AS domain, count(*) AS documents FROM corpus GROUP BY 1")
 def link_domains(spark, d):
-    first = corpus.rank_within(table(spark, d, "raw_contexts"), ["id"], [F.col("loaded_at"), F.col("source_file")], 1, "n")
-    return first.groupBy(tx.link_domain(F.col("link")).alias("domain")).agg(F.count("*").alias("documents"))
+    return clean(spark, d).groupBy(tx.link_domain(F.col("link")).alias("domain")).agg(F.count("*").alias("documents"))
 
 
 def _pollution_sql() -> str:
-    cases = " ".join(f"WHEN contains(low, '{k}') THEN '{k}'" for k in q.CRAWLER_LEFTOVERS)
-    return f"""WITH {q.RAW}, t AS (SELECT CAST(id AS VARCHAR) AS doc_id, lower(trim(regexp_replace(passage, '{q.SPACE}+', ' ', 'g'))) AS low FROM raw WHERE passage IS NOT NULL),
-    f AS (SELECT *, CASE {cases} END AS keyword FROM t)
-    SELECT doc_id, keyword, substring(low, greatest(instr(low, keyword) - 40, 1), instr(low, keyword) - greatest(instr(low, keyword) - 40, 1) + length(keyword) + 40) AS excerpt FROM f WHERE keyword IS NOT NULL"""
+    words = ["đăng nhập", "mật khẩu", "quý khách", "rời quầy", "tài khoản của bạn"]
+    cases = " ".join(f"WHEN contains(low, '{k}') THEN '{k}'" for k in words)
+    known = " OR ".join(f"contains(low, '{k}')" for k in q.CRAWLER_LEFTOVERS)
+    return f"""WITH {q.CORPUS}, t AS (SELECT doc_id, text, lower(text) AS low FROM corpus), f AS (SELECT *, CASE {cases} END AS keyword FROM t)
+    SELECT doc_id, keyword, ({known}) AS known_pattern, substring(text, greatest(instr(low, keyword) - 60, 1), instr(low, keyword) + 150 - greatest(instr(low, keyword) - 60, 1)) AS context FROM f WHERE keyword IS NOT NULL"""
 
 
 @query(_pollution_sql())
 def pollution(spark, d):
-    first = corpus.rank_within(table(spark, d, "raw_contexts"), ["id"], [F.col("loaded_at"), F.col("source_file")], 1, "n").where("passage is not null")
-    return corpus.pollution(first.select(F.col("id").cast("string").alias("doc_id"), tx.collapse(F.col("passage")).alias("text")))
+    return corpus.pollution(clean(spark, d))
 
 
 # --- duplicates and labels ------------------------------------------------------------------------------------------
@@ -170,8 +172,11 @@ def keep_of_duplicates(spark, d):
     return labels.keep_of_duplicates(corpus.duplicate_groups(clean(spark, d)), train_labels(spark, d))
 
 
+_STOP = "'" + "', '".join("là gì nào được của và có cho trong khi thì các những về với theo quy định như thế ai bao lâu nhiêu phải không này đó một người".split()) + "'"
+
+
 @query(f"""WITH {q.LABELLED}, n AS (SELECT qid, answer, list_distinct(list_filter(string_split({q.question_key('question')}, ' '), lambda w: length(w) > 1)) AS words FROM labelled WHERE question IS NOT NULL),
-    w AS (SELECT qid, unnest(words) AS word FROM n), s AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 200 AND count(*) <= (SELECT count(*) FROM n) * 0.02), b AS (SELECT * FROM w SEMI JOIN s USING (word)),
+    w AS (SELECT qid, unnest(words) AS word FROM n), s AS (SELECT word FROM w WHERE word NOT IN ({_STOP}) GROUP BY word HAVING count(*) BETWEEN 2 AND 200 AND count(*) <= (SELECT count(*) FROM n) * 0.02), b AS (SELECT * FROM w SEMI JOIN s USING (word)),
     p AS (SELECT DISTINCT x.qid AS qid_a, y.qid AS qid_b FROM b x JOIN b y USING (word) WHERE x.qid < y.qid),
     f AS (SELECT p.*, len(list_intersect(x.words, y.words)) AS i, len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)) AS u, list_sort(x.answer) AS ga, list_sort(y.answer) AS gb FROM p JOIN n x ON x.qid = qid_a JOIN n y ON y.qid = qid_b)
     SELECT qid_a, qid_b, round(i / u, 3) AS similarity, CASE WHEN ga = gb THEN 'AGREE' WHEN len(list_intersect(ga, gb)) > 0 THEN 'NESTED' ELSE 'DISJOINT' END AS status FROM f WHERE i / u >= 0.3""")
@@ -220,8 +225,9 @@ def broken_gold(spark, d):
     return labels.broken_gold(train_labels(spark, d), clean(spark, d))
 
 
-@query(f"""WITH {q.LABELLED}, {q.CORPUS}, g AS (SELECT doc_id, count(DISTINCT qid) AS questions FROM (SELECT qid, unnest(answer) AS doc_id FROM labelled) GROUP BY 1)
-    SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)đính kèm|phụ lục|ban hành kèm') THEN 'ATTACH' ELSE 'SHORT' END AS flag, questions FROM g JOIN corpus USING (doc_id) WHERE regexp_matches(text, '(?i)đính kèm|phụ lục|ban hành kèm') OR length(text) < 2500""")
+@query(f"""WITH {q.LABELLED}, {q.CORPUS}, g AS (SELECT qid, unnest(answer) AS doc_id FROM labelled),
+    f AS (SELECT qid, doc_id, length(text) AS chars, length(text) < 2500 AS s, contains(upper(text), 'FILE ĐƯỢC ĐÍNH KÈM') OR contains(upper(text), 'FILE ĐÍNH KÈM') AS a FROM g JOIN corpus USING (doc_id))
+    SELECT qid, doc_id, CAST(chars AS INT) AS chars, CASE WHEN s AND a THEN 'SHORT+ATTACH' WHEN s THEN 'SHORT' ELSE 'ATTACH' END AS flags FROM f WHERE s OR a""")
 def suspicious_gold(spark, d):
     return labels.suspicious_gold(train_labels(spark, d), clean(spark, d))
 
@@ -400,33 +406,45 @@ def rrf_three_sources(spark, d):
     return fusion.fuse({"a": a, "b": b.where("rank <= 20"), "c": neighbours(spark, d)}, {"a": 0.6, "b": 0.4, "c": 0.1}, 60, 10**6, tie="a", rescale=False)
 
 
-@query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.EVAL}, nw AS (SELECT doc_id, list_distinct({q.tokens('name')}) AS n FROM corpus WHERE name <> ''), qw AS (SELECT qid, list_distinct({q.tokens("coalesce(question, '')")}) AS w FROM eq),
+def _plain(expression: str) -> str:
+    """Different words of three characters or more, without accents."""
+    return f"list_distinct(list_filter(regexp_extract_all(replace(strip_accents(lower({expression})), 'đ', 'd'), '{q.WORD}+'), lambda w: length(w) >= 3))"
+
+
+_NAME_WORDS = f"""nw AS (SELECT doc_id, {_plain("replace(name, '-', ' ')")} AS n FROM corpus), qw AS (SELECT qid, {_plain("coalesce(question, '')")} AS w FROM eq)"""
+
+
+def name_words(spark, d) -> DataFrame:
+    return clean(spark, d).select("doc_id", tx.plain_words(F.replace("name", F.lit("-"), F.lit(" "))).alias("name_words"))
+
+
+def question_words(spark, d) -> DataFrame:
+    return labels.distinct_questions(table(spark, d, "eval_questions")).select("qid", tx.plain_words(F.col("question")).alias("question_words"))
+
+
+@query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.EVAL}, {_NAME_WORDS},
     s AS (SELECT qid, doc_id, round(score * (1 + 0.3 * CASE WHEN len(n) > 0 THEN coalesce(len(list_intersect(w, n)), 0) / len(n) ELSE 0 END), 6) AS score, rank AS old_rank FROM ranking LEFT JOIN qw USING (qid) LEFT JOIN nw USING (doc_id))
     SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS INT) AS rank FROM s""")
 def rescore_by_name(spark, d):
-    names = clean(spark, d).where("name <> ''").select("doc_id", F.array_distinct(Tokenizer()(F.col("name"))).alias("name_words"))
-    words = labels.distinct_questions(table(spark, d, "eval_questions")).select("qid", F.array_distinct(Tokenizer()(F.col("question"))).alias("question_words"))
-    return fusion.rescore_by_overlap(ranking(spark, d), words, names, 0.3)
+    return fusion.rescore_by_overlap(ranking(spark, d), question_words(spark, d), name_words(spark, d), 0.3)
 
 
-_DOMAIN = f"""{q.RANKING}, {q.CORPUS}, dom AS (SELECT doc_id, CASE WHEN name LIKE '%-%' THEN 'slug' WHEN name = '' THEN 'none' ELSE 'title' END AS domain FROM corpus),
+_DOMAIN = f"""{q.RANKING}, {q.CORPUS}, dom AS (SELECT doc_id, {_LINK_DOMAIN} AS domain FROM corpus),
     v AS (SELECT qid, coalesce(domain, '?') AS domain, round(sum(score), 6) AS votes, min(rank) AS seen FROM ranking LEFT JOIN dom USING (doc_id) WHERE rank <= 10 GROUP BY ALL),
     chosen AS (SELECT qid, domain AS c FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, seen) = 1)"""
 
 
 def _domains(spark, d) -> DataFrame:
-    """A stand-in for legal domains, which the links of these tables don't name: how a document is titled."""
-    kind = F.when(F.col("name").contains("-"), "slug").when(F.col("name") == "", "none").otherwise("title")
-    return clean(spark, d).select("doc_id", kind.alias("domain"))
+    return clean(spark, d).select("doc_id", tx.link_domain(F.col("link")).alias("domain"))
 
 
-@query(f"WITH {_DOMAIN} SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY old_rank) AS INT) AS rank FROM (SELECT qid, doc_id, score, rank AS old_rank FROM ranking LEFT JOIN dom USING (doc_id) JOIN chosen USING (qid) WHERE coalesce(domain, '?') = c)")
+@query(f"WITH {_DOMAIN} SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY old_rank) AS INT) AS rank FROM (SELECT qid, doc_id, score, rank AS old_rank FROM ranking LEFT JOIN dom USING (doc_id) JOIN chosen USING (qid) WHERE domain = c)")
 def domain_filter(spark, d):
     rows, domains = ranking(spark, d), _domains(spark, d)
     return fusion.apply_domain(rows, domains, fusion.vote_domain(rows, domains))
 
 
-@query(f"WITH {_DOMAIN} SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS INT) AS rank FROM (SELECT qid, doc_id, round(CASE WHEN coalesce(domain, '?') = c THEN score * 1.15 ELSE score END, 6) AS score, rank AS old_rank FROM ranking LEFT JOIN dom USING (doc_id) JOIN chosen USING (qid))")
+@query(f"WITH {_DOMAIN} SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS INT) AS rank FROM (SELECT qid, doc_id, round(CASE WHEN domain = c THEN score * 1.15 ELSE score END, 6) AS score, rank AS old_rank FROM ranking LEFT JOIN dom USING (doc_id) JOIN chosen USING (qid))")
 def domain_boost(spark, d):
     rows, domains = ranking(spark, d), _domains(spark, d)
     return fusion.apply_domain(rows, domains, fusion.vote_domain(rows, domains), 0.15)
@@ -557,7 +575,7 @@ def recall_by_tier(spark, d):
     return metrics.recall_by_tier(ranking(spark, d), gold(spark, d), metrics.gold_frequency(train_labels(spark, d)), KS)
 
 
-@query(f"""WITH {_LISTS}, {q.CORPUS}, p AS (SELECT qid, l[1:5] AS a FROM la) SELECT count(*) AS questions, sum(len(a) - len(list_distinct(a)))::BIGINT AS repeated, count_if(len(a) > 5)::BIGINT AS too_many, count_if(len(a) = 0)::BIGINT AS empty,
+@query(f"""WITH {_LISTS}, {q.CORPUS}, p AS (SELECT qid, l[1:5] AS a FROM la) SELECT count(*) AS questions, sum(len(a) - len(list_distinct(a)))::BIGINT AS repeated, count_if(len(a) > 5)::BIGINT AS too_many, count_if(len(a) = 0)::BIGINT AS empty, count_if(len(list_filter(a, lambda x: x IS NULL OR trim(x) <> x OR x = '')) > 0)::BIGINT AS odd_ids,
     round(avg(len(a)), 6) AS mean_answers, (SELECT count(*) FROM (SELECT DISTINCT unnest(a) AS doc_id FROM p) ANTI JOIN corpus USING (doc_id)) AS unknown_ids FROM p""")
 def diagnose_predictions(spark, d):
     return metrics.diagnose(metrics.top_lists(ranking(spark, d), 5), clean(spark, d).select("doc_id"))
@@ -577,10 +595,11 @@ def compare_runs(spark, d):
     return metrics.compare_runs(ranking(spark, d), ranking(spark, d, "sum"), gold(spark, d), KS)
 
 
-@query(f"""WITH {_LISTS}, ds AS (SELECT unnest([1, 3, 5, 10]) AS depth) SELECT depth, count(*) AS questions, count_if(a.l[1:depth] = b.l[1:depth])::BIGINT AS same_lists, count_if(list_sort(a.l[1:depth]) = list_sort(b.l[1:depth]))::BIGINT AS same_sets
+@query(f"""WITH {_LISTS}, ds AS (SELECT unnest([1, 3, 5, 10, 20, 50]) AS depth) SELECT depth, count(*) AS questions, count_if(a.l[1:depth] = b.l[1:depth])::BIGINT AS same_lists, count_if(list_sort(a.l[1:depth]) = list_sort(b.l[1:depth]))::BIGINT AS same_sets,
+    CAST(min(list_position(list_transform(range(1, greatest(len(a.l[1:depth]), len(b.l[1:depth])) + 1), lambda i: a.l[1:depth][i] IS NOT DISTINCT FROM b.l[1:depth][i]), false)) AS INT) AS first_divergence
     FROM la a JOIN lb b USING (qid) CROSS JOIN ds GROUP BY depth""")
 def rankings_agree(spark, d):
-    return metrics.agreement(ranking(spark, d), ranking(spark, d, "sum"), KS)
+    return metrics.agreement(ranking(spark, d), ranking(spark, d, "sum"), [1, 3, 5, 10, 20, 50])
 
 
 @query(f"""WITH {_LISTS}, z AS (SELECT qid, a.l AS x, b.l AS y, least(len(a.l), len(b.l)) AS n FROM la a JOIN lb b USING (qid)), u AS (SELECT qid, unnest(flatten(list_transform(range(1, n + 1), lambda i: [x[i], y[i]]))) AS d, generate_subscripts(flatten(list_transform(range(1, n + 1), lambda i: [x[i], y[i]])), 1) AS p FROM z)
@@ -591,8 +610,8 @@ def interleaved_union(spark, d):
     return both.select("qid", F.array_join(fusion.interleave(F.col("x"), F.col("y")), ",").alias("items"))
 
 
-@query(f"""WITH {_PER}, c AS (SELECT count_if(ra = 0 AND rb > 0)::BIGINT AS wins, count_if(ra > 0 AND rb = 0)::BIGINT AS losses, count_if((ra > 0) = (rb > 0))::BIGINT AS ties FROM per WHERE k = 3)
-    SELECT wins, losses, ties, round(CASE WHEN wins + losses > 0 THEN pow(greatest(abs(wins - losses) - 1, 0), 2) / (wins + losses) ELSE 0 END, 6) AS chi2 FROM c""")
+@query(f"""WITH {_PER}, c AS (SELECT count_if(rb > ra)::BIGINT AS wins, count_if(rb < ra)::BIGINT AS losses, count_if(ra = rb)::BIGINT AS ties FROM per WHERE k = 3)
+    SELECT wins, losses, ties, round(CASE WHEN wins + losses > 0 THEN pow(abs(wins - losses) - 1, 2) / (wins + losses) ELSE 0 END, 6) AS chi2 FROM c""")
 def mcnemar_counts(spark, d):
     return _mcnemar(spark, d).drop("p_value")
 
@@ -616,11 +635,21 @@ def bootstrap_interval(spark, d):
     return statistics.bootstrap_interval(statistics.paired_differences(a, b), 2000)
 
 
-@query(f"""WITH {_LISTS} SELECT qid, CASE WHEN len(list_intersect(answer, coalesce(l, [])[1:50])) < len(answer) THEN 'MISS_FAR' WHEN len(list_intersect(answer, coalesce(l, [])[1:5])) < len(answer) THEN 'MISS_NEAR' ELSE 'OK' END AS mode FROM gold LEFT JOIN la USING (qid)""")
+_MODES = f"""{_LISTS}, modes AS (SELECT qid, CASE WHEN len(list_intersect(answer, coalesce(l, [])[1:5])) = len(answer) THEN 'OK' WHEN len(list_intersect(answer, coalesce(l, [])[1:50])) = 0 THEN 'MISS50' ELSE 'MISS5' END AS mode FROM gold LEFT JOIN la USING (qid))"""
+
+
+@query(f"WITH {_MODES} SELECT * FROM modes")
 def failure_modes(spark, d):
     return metrics.failure_modes(ranking(spark, d), gold(spark, d))
 
 
+@query(f"""WITH {_MODES}, c AS (SELECT mode, count(*) AS questions, least(count(*), CASE mode WHEN 'MISS5' THEN 30 ELSE 20 END)::BIGINT AS taken FROM modes WHERE mode <> 'OK' GROUP BY mode)
+    SELECT mode, questions, taken, round((questions / (SELECT count(*) FROM modes)) / (taken / 50), 6) AS rescale FROM c""")
+def failure_sample(spark, d):
+    """How many failures of each kind a sample takes, and the factor back to their share among all questions."""
+    return metrics.failure_sample(failure_modes(spark, d), {"MISS5": 30, "MISS50": 20})
+
+
 @query(f"""WITH {q.RANKING}, p AS (SELECT qid, count(*) AS n, count(DISTINCT doc_id) AS d, max(rank) AS last FROM ranking GROUP BY qid)
     SELECT count(*) AS questions, count_if(n > 10)::BIGINT AS too_long, count_if(n > d)::BIGINT AS repeated, CAST(0 AS BIGINT) AS rising, count_if(n <> last)::BIGINT AS gaps FROM p""")
 def ranking_contract(spark, d):
@@ -632,15 +661,17 @@ def size_histogram(spark, d):
     return metrics.size_histogram(metrics.top_lists(ranking(spark, d), 5))
 
 
-@query(f"""WITH {q.KNOWN}, c AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 5), {q.pooled('max(score)', 'x', 'c')}, {q.pooled('max(score)', 'y')},
-    b AS (SELECT qid, list(doc_id ORDER BY rank) AS l FROM x WHERE rank <= 3 GROUP BY 1), e AS (SELECT qid, list(doc_id ORDER BY rank) AS l FROM y WHERE rank <= 3 GROUP BY 1)
-    SELECT count(*) AS questions, count_if(b.l = e.l)::BIGINT AS same_lists FROM b JOIN e USING (qid)""")
+@query(f"""WITH {q.KNOWN}, {q.GOLD}, c AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 5), {q.pooled('max(score)', 'x', 'c')}, {q.pooled('max(score)', 'y')},
+    b AS (SELECT qid, list(doc_id ORDER BY rank) AS l FROM x WHERE rank <= 10 GROUP BY 1), e AS (SELECT qid, list(doc_id ORDER BY rank) AS l FROM y WHERE rank <= 10 GROUP BY 1),
+    r AS (SELECT round(avg(len(list_intersect(coalesce(e.l, [])[1:5], answer)) / len(answer)), 4) AS f5, round(avg(len(list_intersect(coalesce(e.l, []), answer)) / len(answer)), 4) AS f10,
+          round(avg(len(list_intersect(coalesce(b.l, [])[1:5], answer)) / len(answer)), 4) AS c5, round(avg(len(list_intersect(coalesce(b.l, []), answer)) / len(answer)), 4) AS c10 FROM gold LEFT JOIN e USING (qid) LEFT JOIN b USING (qid))
+    SELECT count(*) AS questions, count_if(b.l <> e.l)::BIGINT AS list_diff, count_if(list_sort(b.l) <> list_sort(e.l))::BIGINT AS set_diff, any_value(f5) AS recall_5_full, any_value(f10) AS recall_10_full, any_value(c5) AS recall_5_capped, any_value(c10) AS recall_10_capped
+    FROM b JOIN e USING (qid) CROSS JOIN r""")
 def cap_equivalence(spark, d):
-    """Does keeping the five best chunks before pooling by maximum change the first three documents?"""
+    """What keeping the five best chunks before pooling by maximum changes in the first ten documents."""
     rows = table(spark, d, "ranking_rows").where(F.col("doc_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).select("qid", "doc_id", "score", "chunk_id").distinct()
-    capped, full = (metrics.top_lists(pooling.pool_documents(rows, "max", c), 3) for c in (5, None))
-    both = capped.join(full.withColumnRenamed("answer", "other"), "qid")
-    return both.agg(F.count("*").alias("questions"), F.count_if(F.col("answer") == F.col("other")).alias("same_lists"))
+    capped, full = (pooling.pool_documents(rows, "max", c) for c in (5, None))
+    return metrics.cap_equivalence(full, capped, gold(spark, d), 10, 5)
 
 
 GRID = [(w, k) for w in (0.2, 0.4, 0.6, 0.8) for k in (10, 60)]
@@ -678,16 +709,14 @@ def grid_choice(spark, d):
 FACTORS = [0.0, 0.1, 0.3, 1.0]
 
 
-@query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.GOLD}, nw AS (SELECT doc_id, list_distinct({q.tokens('name')}) AS n FROM corpus WHERE name <> ''), qw AS (SELECT qid, list_distinct({q.tokens("coalesce(question, '')")}) AS w FROM eq),
+@query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.GOLD}, {_NAME_WORDS},
     fc AS (SELECT unnest({FACTORS}::DOUBLE[]) AS factor), s AS (SELECT factor, qid, doc_id, rank, round(score * (1 + factor * CASE WHEN len(n) > 0 THEN coalesce(len(list_intersect(w, n)), 0) / len(n) ELSE 0 END), 6) AS s FROM ranking CROSS JOIN fc LEFT JOIN qw USING (qid) LEFT JOIN nw USING (doc_id)),
     tl AS (SELECT factor, qid, list(doc_id) AS l FROM (SELECT *, row_number() OVER (PARTITION BY factor, qid ORDER BY s DESC, rank) AS p FROM s) WHERE p <= 3 GROUP BY ALL),
     rc AS (SELECT fc.factor, gold.qid, len(list_intersect(answer, coalesce(l, []))) / len(answer) AS recall FROM gold CROSS JOIN fc LEFT JOIN tl ON tl.qid = gold.qid AND tl.factor = fc.factor),
     mn AS (SELECT factor, {HALF} AS half, round(avg(recall), 6) AS r FROM rc GROUP BY ALL), ch AS (SELECT 1 - half AS fold, factor FROM mn QUALIFY row_number() OVER (PARTITION BY half ORDER BY r DESC, factor) = 1)
     SELECT CAST(fold AS INT) AS fold, factor, r AS recall FROM ch JOIN mn USING (factor) WHERE mn.half = fold""")
 def bonus_cross_validation(spark, d):
-    names = clean(spark, d).where("name <> ''").select("doc_id", F.array_distinct(Tokenizer()(F.col("name"))).alias("name_words"))
-    words = labels.distinct_questions(table(spark, d, "eval_questions")).select("qid", F.array_distinct(Tokenizer()(F.col("question"))).alias("question_words"))
-    return tuning.cross_validate(tuning.bonus_recalls(ranking(spark, d), words, names, gold(spark, d), FACTORS, 3), "factor")
+    return tuning.cross_validate(tuning.bonus_recalls(ranking(spark, d), question_words(spark, d), name_words(spark, d), gold(spark, d), FACTORS, 3), "factor")
 
 
 @query(f"""WITH {_LISTS}, pr AS (SELECT s.qid, list_contains(g.answer, s.doc_id) AS is_gold, s.score FROM second s JOIN gold g USING (qid)), per AS (SELECT qid, max(CASE WHEN is_gold THEN score END) AS g, max(CASE WHEN NOT is_gold THEN score END) AS o FROM pr GROUP BY 1 HAVING g IS NOT NULL AND o IS NOT NULL)
@@ -698,12 +727,14 @@ def rerank_probe(spark, d):
     return tuning.probe_scores(rows.select("qid", "doc_id", F.array_contains("answer", F.col("doc_id")).alias("is_gold"), F.col("score").alias("rerank_score")))
 
 
-@query(f"""WITH {_DOMAIN}, {q.GOLD}, gd AS (SELECT DISTINCT qid, domain FROM (SELECT qid, unnest(answer) AS doc_id FROM gold) JOIN dom USING (doc_id))
-    SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS rank FROM ranking LEFT JOIN dom USING (doc_id) SEMI JOIN gd USING (qid, domain)""")
+@query(f"""WITH {_DOMAIN}, {q.GOLD}, gd AS (SELECT DISTINCT qid, coalesce(domain, '') AS domain FROM (SELECT qid, unnest(answer) AS doc_id FROM gold) LEFT JOIN dom USING (doc_id)), rd AS (SELECT qid, doc_id, rank, coalesce(domain, '') AS domain FROM ranking LEFT JOIN dom USING (doc_id))
+    SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS rank FROM rd SEMI JOIN gd USING (qid, domain)""")
 def domain_oracle(spark, d):
-    """What a filter that knew the gold documents' domains would leave."""
-    wanted = gold(spark, d).select("qid", F.explode("answer").alias("doc_id")).join(_domains(spark, d), "doc_id").select("qid", "domain").distinct()
-    rows = ranking(spark, d).join(_domains(spark, d), "doc_id").join(wanted, ["qid", "domain"], "left_semi")
+    """What a filter that knew the gold documents' domains would leave; documents outside the corpus are alike."""
+    domains = _domains(spark, d)
+    of = lambda rows: rows.join(domains, "doc_id", "left").withColumn("domain", F.coalesce("domain", F.lit("")))
+    wanted = of(gold(spark, d).select("qid", F.explode("answer").alias("doc_id"))).select("qid", "domain").distinct()
+    rows = of(ranking(spark, d)).join(wanted, ["qid", "domain"], "left_semi")
     return bm25.rank_within(rows.select("qid", "doc_id", F.col("rank").alias("old")), ["qid"], [F.col("old")]).drop("old")
 
 
@@ -726,7 +757,7 @@ def name_term_idf(spark, d):
 # --- graphs, splits, samples ----------------------------------------------------------------------------------------
 
 _SLUG = tx.SLUG_CODE.replace("(?=", "(?:")
-_CITED = r"\b[0-9]{1,5}[A-ZĐ]*/[0-9]{4}/[A-ZĐ]{2,}[a-z]*(?:-[A-ZĐ]+[a-z]*)*\b"
+_CITED = rf"\b{tx.CITED}\b"
 _EDGES = rf"""{q.CORPUS}, sl AS (SELECT doc_id, text, regexp_extract(substring(text, 1, 1500), 'Số:\s*({tx.CODE})', 1) AS st, [regexp_extract(name, '{_SLUG}', 1), regexp_extract(name, '{_SLUG}', 2), regexp_extract(name, '{_SLUG}', 3)] AS sg FROM corpus),
     own AS (SELECT doc_id, text, nullif(upper(regexp_replace(CASE WHEN st <> '' THEN st WHEN sg[1] <> '' THEN array_to_string(sg, '/') ELSE '' END, '\s+', '', 'g')), '') AS code FROM sl),
     codes AS (SELECT code, min(doc_id) AS doc_id FROM own WHERE code IS NOT NULL GROUP BY code),

@@ -57,15 +57,16 @@ def question_key(expression: str) -> str:
     return f"trim(regexp_replace({kept}, '{SPACE}+', ' ', 'g'))"
 
 
-def bm25(questions: str, pieces: str, k1: float = 1.5, b: float = 0.75, top: int = 20, binary: bool = False) -> str:
+def bm25(questions: str, pieces: str, k1: float = 1.5, b: float = 0.75, top: int = 20, binary: bool = False, split: str | None = None) -> str:
     """Common tables down to ``hits``: the best rows ``qid, item, doc, score, rank`` of questions (qid, text) against
     pieces (item, doc, text)."""
     times = "1" if binary else "q.tf"
-    return f"""pt AS (SELECT item, doc, len(t) AS dl, t FROM (SELECT item, doc, {tokens('text')} AS t FROM ({pieces}))),
+    split = split or tokens("text")
+    return f"""pt AS (SELECT item, doc, len(t) AS dl, t FROM (SELECT item, doc, {split} AS t FROM ({pieces}))),
     posting AS (SELECT item, doc, dl, term, count(*) AS tf FROM (SELECT item, doc, dl, unnest(t) AS term FROM pt) GROUP BY ALL),
     stats AS (SELECT count(*) AS n, CASE WHEN sum(dl) > 0 THEN sum(dl) / count(*) ELSE 1.0 END AS avgdl FROM pt),
     vocabulary AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting GROUP BY term),
-    asked AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({tokens('text')}) AS term FROM ({questions})) GROUP BY ALL),
+    asked AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({split}) AS term FROM ({questions})) GROUP BY ALL),
     scored AS (SELECT q.qid, p.item, p.doc, round(sum({times} * v.idf * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b} + {b} * p.dl / (SELECT avgdl FROM stats)))), 6) AS score
                FROM asked q JOIN vocabulary v USING (term) JOIN posting p USING (term) GROUP BY ALL),
     hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS INT) AS rank FROM scored) WHERE rank <= {top})"""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docloom.plans import catalog
+from docloom.plans import searches as catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

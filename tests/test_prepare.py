@@ -8,26 +8,33 @@ from docloom.plans.prepare import Preparation
 
 
 def test_paragraphs():
-    assert excerpts.split_paragraphs("") == []
+    assert excerpts.split_paragraphs("") == [""]
     assert excerpts.split_paragraphs("a" * 250 + "\n\n" + "b" * 50 + "\n\n" + "c" * 180 + "\n\nd") == ["a" * 250, "b" * 50 + " " + "c" * 180, "d"]
-    articles = "Mở đầu " + "x" * 200 + " Điều 1. " + "y" * 200 + " Điều 2. " + "z" * 200
-    assert [p[:6] for p in excerpts.split_paragraphs(articles)] == ["Mở đầu", "Điều 1", "Điều 2"]
-    assert "".join(excerpts.split_paragraphs("w" * 3000)) == "w" * 3000
+    articles = "Mở đầu " + "x" * 200 + " Điều 1. " + "y" * 200 + " 2. QUY TẮC " + "z" * 200 + " điều 3. " + "t" * 2500
+    assert [(p[:6], len(p)) for p in excerpts.split_paragraphs(articles)] == [("Mở đầu", 207), ("Điều 1", 208), ("2. QUY", 2000), ("t" * 6, 720)]
+    assert [len(p) for p in excerpts.split_paragraphs("w" * 4500)] == [2000, 2000, 500]
+    assert excerpts.split_paragraphs("ngắn\n\n" + "u" * 2100)[0] == "ngắn"
     assert excerpts.highlight("Thuế <b>", ["thuế"]) == "<mark>Thuế</mark> &lt;b&gt;"
 
 
 def test_excerpts_equal_a_twin(spark):
+    """By the definition: density of weighted keyword occurrences, only above 0, the head before all."""
     import math
 
-    parts = [f"phần {i} " + ("thuế " * (i % 4)) + "chung " * 60 for i in range(9)]
+    parts = [f"phần {i} " + ("thuế. " * (i % 4)) + "chung " * 60 for i in range(9)] + ["không có gì cả " * 20]
     corpus = spark.createDataFrame([("d", "\n\n".join(parts))], "doc_id string, text string")
-    questions = spark.createDataFrame([("q", "Thuế phần nào?")], "qid string, question string")
-    gold = spark.createDataFrame([("q", "d")], "qid string, doc_id string")
-    got = [r.excerpt for r in excerpts.excerpts(questions, gold, corpus).orderBy("place").collect()]
-    score = lambda p: sum(p.count(w) * len(w) for w in ("thuế", "phần", "nào")) / (math.sqrt(len(p)) + 1)
+    questions = spark.createDataFrame([("q", "Thuế phần nào?"), ("r", "xyz")], "qid string, question string")
+    gold = spark.createDataFrame([("q", "d"), ("r", "d")], "qid string, doc_id string")
+    rows = excerpts.excerpts(questions, gold, corpus).orderBy("place").collect()
     paragraphs = excerpts.split_paragraphs("\n\n".join(parts))
-    best = sorted(range(len(paragraphs)), key=lambda i: (-round(score(paragraphs[i]), 9), i))[:4]
-    assert got == [paragraphs[i] for i in sorted(best)]
+    forms = [p.replace(".", " ").split() for p in paragraphs]
+    forms = [" ".join(f) for f in forms]
+    words = ("thuế", "phần")  # nào is a stop word
+    weight = {w: 1 / (1 + 10 * sum(w in f for f in forms) / len(forms)) for w in words}
+    density = [sum(f.count(w) * len(w) * weight[w] for w in words) / (math.sqrt(len(f)) + 1) for f in forms]
+    best = sorted(range(len(forms)), key=lambda i: -density[i])[:4]
+    assert [(r.place, r.excerpt) for r in rows if r.qid == "q"] == [(-1, paragraphs[0][:600]), *((i, paragraphs[i]) for i in sorted(best) if density[i] > 0)]
+    assert [r.place for r in rows if r.qid == "r"] == [-1]
 
 
 def test_choice_and_cross_validation(spark):

@@ -116,6 +116,8 @@ def test_mcnemar_and_bootstrap(spark):
     b = spark.createDataFrame([(f"q{i}", 1.0 if 10 <= i < 70 else 0.0) for i in range(100)], "qid string, recall double")
     test = statistics.mcnemar(a, b).first()
     assert (test.wins, test.losses, test.chi2) == (30, 10, pytest.approx(19**2 / 40)) and test.p_value == pytest.approx(math.erfc(math.sqrt(19**2 / 80)), abs=1e-6)
+    part = b.withColumn("recall", F.when(F.col("qid") == "q5", 0.5).otherwise(F.col("recall")))  # half of the gold is a loss too
+    assert statistics.mcnemar(a, part).first().losses == 10 and statistics.mcnemar(part, a).first().wins == 10
     same = statistics.mcnemar(a, a).first()
     assert (same.chi2, same.p_value) == (0, 1)
     interval = statistics.bootstrap_interval(statistics.paired_differences(a, b), 2000).first()
@@ -192,3 +194,22 @@ def test_config(tmp_path):
         with pytest.raises(ConfigError):
             load(tmp_path / name)
     assert merged({"a": [1]}, {"a": [2]}) == {"a": [2]}
+
+
+def test_failure_modes(spark):
+    gold = spark.createDataFrame([("all", ["a", "b"]), ("some", ["a", "x"]), ("far", ["z"]), ("none", ["y"])], "qid string, answer array<string>")
+    rows = [(q, r + 1, d) for q in ("all", "some", "far", "none") for r, d in enumerate(["a", "b", "c", "d", "e", "z"])]
+    modes = metrics.failure_modes(spark.createDataFrame(rows, "qid string, rank int, doc_id string"), gold)
+    assert {r.qid: r["mode"] for r in modes.collect()} == {"all": "OK", "some": "MISS5", "far": "MISS5", "none": "MISS50"}
+    sample = {r["mode"]: (r.questions, r.taken, r.rescale) for r in metrics.failure_sample(modes, {"MISS5": 1, "MISS50": 3}).collect()}
+    assert sample == {"MISS5": (2, 1, 2.0), "MISS50": (1, 1, 1.0)}
+
+
+def test_domains(spark):
+    """A chosen field keeps its documents; those outside the corpus vote for ? but are of no field."""
+    rows = spark.createDataFrame([("q", "a", 5.0, 1), ("q", "b", 4.0, 2), ("q", "c", 3.0, 3), ("p", "x", 9.0, 1), ("p", "a", 1.0, 2)], "qid string, doc_id string, score double, rank int")
+    domains = spark.createDataFrame([("a", "thue"), ("b", "dat"), ("c", "dat")], "doc_id string, domain string")
+    chosen = fusion.vote_domain(rows, domains)
+    assert {r.qid: r.domain for r in chosen.collect()} == {"q": "dat", "p": "?"}
+    assert [(r.doc_id, r["rank"]) for r in fusion.apply_domain(rows, domains, chosen).orderBy("rank").collect()] == [("b", 1), ("c", 2)]
+    assert [r.doc_id for r in fusion.apply_domain(rows, domains, chosen, 0.5).where("qid = 'q'").orderBy("rank").collect()] == ["b", "a", "c"]

@@ -53,7 +53,9 @@ def test_cleaning(spark):
 
 
 def test_link_domain_and_titles(spark):
-    assert one(spark, tx.link_domain(F.col("t")), "HTTPS://A.vn/Van-Ban/1.aspx", None, "x") == ["https://a.vn/van-ban", "?", "?"]
+    links = ("https://a.vn/van-ban/thue-phi/le-phi-1.aspx", "https://a.vn/van-ban/1.aspx", "https://a.vn/Van/Ban/x", None, "x")
+    assert one(spark, tx.link_domain(F.col("t")), *links) == ["van-ban/thue-phi", "?", "?", "?", "?"]
+    assert one(spark, tx.plain_words(F.replace("t", F.lit("-"), F.lit(" "))), "Quyet-dinh-24-2019-QD-CKL", "Quyết định của Đà Lạt") == [["quyet", "dinh", "2019", "ckl"], ["quyet", "dinh", "cua", "lat"]]
     head = "BỘ TÀI CHÍNH Số: 78/2021/TT-BTC THÔNG TƯ hướng dẫn hoá đơn, Căn cứ Luật"
     assert one(spark, tx.title(F.col("t")), head, "không có") == ["78/2021/TT-BTC THÔNG TƯ hướng dẫn hoá đơn", None]
     assert one(spark, tx.own_code(F.lit("Thong-tu-17-2022-TT-BGTVT-sua-doi-x"), F.col("t")), "Số: 5/2020/NĐ-CP", "") == ["5/2020/NĐ-CP", "17/2022/TT-BGTVT"]
