@@ -1,8 +1,10 @@
-"""BM25: an index with a row for every chunk, and blocks of chunks scored against the terms of the questions.
+"""BM25: an index with a row for every chunk, and blocks of questions scored against blocks of chunks.
 
 Joining postings to the terms of many questions makes a row for every posting and question; a term that most chunks
-have makes it nearly all of them. Here a task turns its chunks into a small inverted file, adds up each question's
-postings in it, and passes on only its best chunks, so what is shuffled doesn't depend on how frequent terms are.
+have makes it nearly all of them. Here questions and chunks are dealt to blocks by their hashes, and a task turns a block
+of chunks into a small inverted file, scores a block of questions in it, and passes on only their best chunks. What is
+shuffled doesn't depend on how frequent terms are, what a task holds is a block of each, and no question reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -10,20 +12,23 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docloom.functions.tokens import Tokenizer
+from docloom.operators.tiles import whole_tiles
 from docloom.session import materialize
 
-#: Terms of questions that go to every task at once; more are taken in several passes over the index.
-TERM_BLOCK = 200_000
-#: Chunks in a task's inverted file.
-CHUNK_BLOCK = 4096
+#: Questions and chunks in a block, questions scored at once, and the share of a block's chunks that makes a term dense.
+QUESTION_BLOCK, CHUNK_BLOCK, AT_ONCE, DENSE = 1024, 2048, 128, 0.1
+#: Partitions over which the pairs of blocks are spread.
+MOST_PARTS = 20_000
 
 _COUNTS = ArrayType(StructType([StructField("term", StringType()), StructField("tf", IntegerType())]))
 
@@ -85,75 +90,86 @@ def score_chunks(questions: DataFrame, index: Index, tokenizer: Tokenizer | None
     """Rows ``qid, chunk_id, doc_id, score, rank``: the ``top`` chunks of every question with a score above 0; ties by
     chunk id. Scores are rounded before they are ranked, so the order doesn't depend on the order of summation.
 
-    The questions are a stated set; their terms go to the tasks in blocks of ``TERM_BLOCK``, in as many passes over the
-    index as there are blocks."""
-    terms = materialize(question_terms(questions, index, tokenizer, binary).orderBy("qid"), "question-terms")
-    found = None
-    for block in _term_blocks(terms):
-        part = index.rows.mapInArrow(_block_scorer(block, index, top, decimals), "qid string, chunk_id string, doc_id string, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.rows.where("false").select(F.col("chunk_id").alias("qid"), "chunk_id", "doc_id", F.lit(0.0).alias("score"))
+    Every block of questions meets every block of chunks, as every question may match any chunk; the blocks' numbers
+    follow from two counts."""
+    terms = question_terms(questions, index, tokenizer, binary)
+    asked = terms.groupBy("qid").agg(F.collect_list(F.struct("term", F.col("factor").alias("w"))).alias("terms"))
+    asked = materialize(asked, "question-terms")
+    blocks = {"q": max(1, -(-asked.count() // QUESTION_BLOCK)), "c": max(1, -(-index.chunks // CHUNK_BLOCK))}
+    own = lambda column, side: F.pmod(F.xxhash64(column), F.lit(blocks[side]))
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.lit(blocks[side] - 1)))
+    left = asked.select(own("qid", "q").alias("q"), every("c").alias("c"), F.lit(0).alias("role"), F.col("qid").alias("id"), F.lit(None).cast("string").alias("doc_id"), F.lit(0).alias("length"), "terms")
+    weights = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].cast("double").alias("w")))
+    right = index.rows.select(every("q").alias("q"), own("chunk_id", "c").alias("c"), F.lit(1).alias("role"), F.col("chunk_id").alias("id"), "doc_id", "length", weights.alias("terms"))
+    tiles = left.unionByName(right).select((F.col("q") * blocks["c"] + F.col("c")).cast("long").alias("tile"), "role", "id", "doc_id", "length", "terms")
+    parts = min(blocks["q"] * blocks["c"], MOST_PARTS)
+    tiles = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "role")
+    score = partial(_score_tiles, top=top, decimals=decimals, k1=index.k1, b=index.b, average=index.average_length)
+    found = tiles.mapInArrow(score, "qid string, chunk_id string, doc_id string, score double")
     return rank_within(found, ["qid"], [F.col("score").desc(), F.col("chunk_id")], top)
 
 
-def _term_blocks(terms: DataFrame) -> Iterator[dict[str, list[tuple[str, float]]]]:
-    """Whole questions with their terms, about ``TERM_BLOCK`` terms at a time."""
-    block: dict[str, list[tuple[str, float]]] = {}
-    size = 0
-    for qid, term, factor in terms.toLocalIterator(prefetchPartitions=True):
-        if size >= TERM_BLOCK and qid not in block:
-            yield block
-            block, size = {}, 0
-        block.setdefault(qid, []).append((term, factor))
-        size += 1
-    if block:
-        yield block
-
-
-def _block_scorer(block: dict[str, list[tuple[str, float]]], index: Index, top: int, decimals: int):
-    """For mapInArrow over rows of the index: the best chunks of every question in each block of chunks."""
-    number = {t: i for i, t in enumerate(sorted({t for terms in block.values() for t, _ in terms}))}
-    questions = [(q, np.array([number[t] for t, _ in terms]), np.array([f for _, f in terms])) for q, terms in block.items()]
-    k1, b, average = index.k1, index.b, index.average_length
-
-    def best(ids: list, docs: list, lengths: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
-        items = terms.flatten()
-        names = items.field("term").dictionary_encode()
-        local = np.array([number.get(t, -1) for t in names.dictionary.to_pylist()], np.int64)
-        term = local[names.indices.to_numpy()] if len(items) else np.empty(0, np.int64)
-        row = np.repeat(np.arange(len(ids)), np.diff(terms.offsets.to_numpy()))
-        tf = items.field("tf").to_numpy().astype(np.float64)
-        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / average))
-        order = np.argsort(term, kind="stable")
-        order = order[np.searchsorted(term[order], 0) :]
-        row, weight = row[order], weight[order]
-        bounds = np.searchsorted(term[order], np.arange(len(number) + 1))
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for qid, wanted, factors in questions:
-            starts, ends = bounds[wanted], bounds[wanted + 1]
-            sizes = ends - starts
-            if not sizes.sum():
-                continue
-            picked = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)])
-            scores = np.round(np.bincount(row[picked], weight[picked] * np.repeat(factors, sizes), len(ids)), decimals)
-            # all that ties with the last place stays: ids decide over all blocks
-            floor = np.partition(scores, -top)[-top] if len(scores) > top else 0.0
-            hits = np.flatnonzero((scores >= floor) & (scores > 0))
-            out[0].extend([qid] * len(hits))
-            out[1].extend(ids[i] for i in hits)
-            out[2].extend(docs[i] for i in hits)
-            out[3].extend(scores[hits].tolist())
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in out[:3]), pa.array(out[3], pa.float64())], ["qid", "chunk_id", "doc_id", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK_BLOCK):
-                part = batch.slice(lo, CHUNK_BLOCK)
-                terms = pa.concat_arrays([part.column("terms")])
-                yield best(part.column("chunk_id").to_pylist(), part.column("doc_id").to_pylist(), part.column("length").to_numpy(), terms)
-
-    return run
+def _score_tiles(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    for table in whole_tiles(batches):
+        tiles = table["tile"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
+        for lo, hi in zip(starts, [*starts[1:], len(tiles)]):
+            yield from _score_tile(table.slice(lo, hi - lo).combine_chunks(), **options)
+
+
+def _terms(lists: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The terms of all rows one after another, their weights and their rows."""
+    column = pa.concat_arrays(lists.chunks)
+    items = column.flatten()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return items.field("term").dictionary_encode(), items.field("w").to_numpy(zero_copy_only=False), row
+
+
+def _score_tile(rows: pa.Table, top: int, decimals: int, k1: float, b: float, average: float) -> Iterator[pa.RecordBatch]:
+    """The best chunks of a block for every question of a block. Terms that many of the chunks have are added up as a
+    product of matrices, the others posting by posting."""
+    questions = int((rows["role"].to_numpy() == 0).sum())
+    if not questions or questions == len(rows):
+        return
+    asked, factor, asker = _terms(rows["terms"].slice(0, questions))
+    names, tf, row = _terms(rows["terms"].slice(questions))
+    chunks = rows.slice(questions)
+    n, vocabulary = len(chunks), len(asked.dictionary)
+    local = pc.fill_null(pc.index_in(names.dictionary, value_set=asked.dictionary), -1).to_numpy()
+    term = local[names.indices.to_numpy()]
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * chunks["length"].to_numpy()[row] / average))
+    term, row, weight = (x[term >= 0] for x in (term, row, weight))
+    wanted = asked.indices.to_numpy()
+
+    often = np.bincount(term, minlength=vocabulary) >= DENSE * n
+    place = np.cumsum(often) - 1
+    dense = np.zeros((int(often.sum()), n))
+    heavy = often[term]
+    dense[place[term[heavy]], row[heavy]] = weight[heavy]
+    term, row, weight = (x[~heavy] for x in (term, row, weight))
+    order = np.argsort(term, kind="stable")
+    term, row, weight = term[order], row[order], weight[order]
+    bounds = np.searchsorted(term, np.arange(vocabulary + 1))
+
+    for lo in range(0, questions, AT_ONCE):
+        size = min(AT_ONCE, questions - lo)
+        mine = slice(*np.searchsorted(asker, [lo, lo + size]))
+        who, what, much = asker[mine] - lo, wanted[mine], factor[mine]
+        thick = often[what]
+        factors = np.zeros((size, len(dense)))
+        factors[who[thick], place[what[thick]]] = much[thick]
+        scores = factors @ dense
+        who, what, much = who[~thick], what[~thick], much[~thick]
+        sizes = bounds[what + 1] - bounds[what]
+        picked = np.repeat(bounds[what] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cells = np.repeat(who * n, sizes) + row[picked]
+        scores += np.bincount(cells, weight[picked] * np.repeat(much, sizes), size * n).reshape(size, n)
+        scores = np.round(scores, decimals)
+        # all that ties with the last place stays: ids decide over all blocks
+        floor = np.partition(scores, -top, axis=1)[:, -top, None] if n > top else 0.0
+        q, c = np.nonzero((scores >= floor) & (scores > 0))
+        ids = [rows["id"].take(pa.array(q + lo)), chunks["id"].take(pa.array(c)), chunks["doc_id"].take(pa.array(c))]
+        yield pa.RecordBatch.from_arrays([*(pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.string()) for x in ids), pa.array(scores[q, c])], ["qid", "chunk_id", "doc_id", "score"])
 
 
 def rank_within(rows: DataFrame, keys: list[str], order: list[Column], top: int | None = None, into: str = "rank") -> DataFrame:

@@ -69,6 +69,30 @@ def chunks_by_id(chunks: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataF
     return chunks.join(ids, "chunk_id", "left_semi"), ids.join(chunks, "chunk_id", "left_anti")
 
 
+def first_chunks(chunks: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` chunks by document and position, for a look at a store."""
+    return chunks.orderBy("doc_id", "position", "chunk_id").limit(most)
+
+
+def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``doc_id`` of a JSON object whose ``docs_exclude_from_corpus`` lists the documents to leave out; an object
+    without that list is an error."""
+    kinds = "docs_exclude_from_corpus array<string>, n_corpus_after_exclusion long"
+    entries = spark.read.text(path, wholetext=True).select(F.from_json("value", kinds).alias("v"))
+    there = F.assert_true(F.col("v.docs_exclude_from_corpus").isNotNull(), F.lit("no docs_exclude_from_corpus"))
+    return entries.where(there.isNull()).select(F.explode("v.docs_exclude_from_corpus").alias("doc_id")).distinct()
+
+
+def raw_or_clean(spark: SparkSession, clean: str, raw: list[str]) -> DataFrame:
+    """The cleaned corpus (JSON lines) where it is there, else the raw documents of the first folder that is; rows
+    ``doc_id, name, link, text``."""
+    try:
+        rows = spark.read.json(first_existing(spark, [clean]))
+    except FileNotFoundError:
+        rows = read_raw_documents(spark, first_existing(spark, raw))[0]
+    return rows.select(_alias(rows, "doc_id", "id").cast("string").alias("doc_id"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "link")), F.coalesce(_alias(rows, "text", "passage"), F.lit("")).alias("text"))
+
+
 def corpus_ids(rows: DataFrame) -> DataFrame:
     return rows.select(_alias(rows, "doc_id", "id").cast("string").alias("doc_id")).distinct()
 

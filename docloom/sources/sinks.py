@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import subprocess
 import zipfile
 from pathlib import Path
 
@@ -104,12 +105,64 @@ def verify_files(spark: SparkSession, folder: str, expected: dict[str, str]) ->
     return rows.select("file", F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want"), "changed").alias("problem")).where("problem is not null")
 
 
-EXPERIMENT = "time string, config string, split string, metric string, value double, note string"
+def write_predictions(predicted: DataFrame, path: str) -> None:
+    """Rows ``qid, answer`` as JSON lines in the order of the questions; ids as text, each once, at most five."""
+    write_jsonl(predicted.select("qid", dedupe_and_cut(F.col("answer")).alias("answer")), path, ["qid"])
+
+
+def write_run(ranking: DataFrame, predicted: DataFrame, folder: str, settings: dict) -> dict:
+    """A run as it can be repeated: the ranking, the predictions made of it, and a row of metadata with the settings, the
+    commit they ran at and hashes of both tables, written last; returns the metadata."""
+    spark = ranking.sparkSession
+    ranking.write.mode("overwrite").parquet(f"{folder}/ranking")
+    predicted.write.mode("overwrite").parquet(f"{folder}/predictions")
+    again = {n: spark.read.parquet(f"{folder}/{n}") for n in ("ranking", "predictions")}
+    made = {"settings": json.dumps(settings, ensure_ascii=False, sort_keys=True), "commit": commit_state(), **{f"{n}_hash": content_hash(t) for n, t in again.items()}, "questions": again["predictions"].count()}
+    spark.createDataFrame([made]).coalesce(1).write.mode("overwrite").json(f"{folder}/run")
+    return made
+
+
+def commit_state(folder: str = ".") -> str:
+    """The short hash of the checked-out commit, with + if files were changed since; empty outside a repository."""
+    run = lambda *args: subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True)
+    commit = run("rev-parse", "--short", "HEAD")
+    return commit.stdout.strip() + ("+" if run("status", "--porcelain").stdout.strip() else "") if not commit.returncode else ""
+
+
+def write_excluded(excluded: DataFrame, path: str, most: int = 100_000) -> int:
+    """A Markdown list of the questions ``qid, question, answer`` that were set apart, and how many there are."""
+    got = excluded.select("qid", "question", "answer").orderBy("qid").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} excluded questions")
+    parts = [f"## {r.qid}\n\n{r.question or ''}\n\nGold: {', '.join(r.answer or ())}\n" for r in got]
+    Path(path).write_text("\n".join([f"# Excluded questions: {len(got)}\n", *parts]), encoding="utf-8")
+    return len(got)
+
+
+EXPERIMENT = "time string, config string, split string, metric string, value double, note string, commit string"
 
 
 def append_experiments(spark: SparkSession, path: str, rows: list[tuple]) -> None:
-    """Append results to the experiment table."""
-    spark.createDataFrame(rows, EXPERIMENT).coalesce(1).write.mode("append").parquet(path)
+    """Append results ``time, config, split, metric, value, note`` to the experiment table with the state of the commit; a
+    table with other columns is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = spark.createDataFrame([(*row, commit_state()) for row in rows], EXPERIMENT)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop) and spark.read.parquet(path).columns != new.columns:
+        raise ValueError(f"{path} has other columns")
+    new.coalesce(1).write.mode("append").parquet(path)
+
+
+def plan_encoding(chunks: int, shards: int, rows_a_second: float, dim: int, bytes_a_number: int = 2) -> list[dict]:
+    """The rows of each shard of an encoding job, the rest going to the first shards, with hours and GB they take."""
+    if shards < 1 or chunks < 0 or rows_a_second <= 0:
+        raise ValueError("shards, chunks and speed must be positive")
+    size, rest = divmod(chunks, shards)
+    out, first = [], 0
+    for shard in range(shards):
+        rows = size + (shard < rest)
+        out.append({"shard": shard + 1, "first": first, "last": first + rows, "rows": rows, "hours": rows / rows_a_second / 3600, "gb": rows * dim * bytes_a_number / 1e9})
+        first += rows
+    return out
 
 
 def write_splits(split: DataFrame, folder: str) -> None:
@@ -129,7 +182,9 @@ def write_splits(split: DataFrame, folder: str) -> None:
 
 
 def local_report(path: str, heading: str, rows: DataFrame, most: int = 1000) -> None:
-    """A Markdown table of a small result."""
-    got = rows.limit(most).collect()
+    """A Markdown table of a small result; one of more than ``most`` rows is refused, not cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows aren't a report")
     lines = [f"# {heading}", "", " | ".join(rows.columns), " | ".join("-" for _ in rows.columns), *(" | ".join(map(str, r)) for r in got)]
     Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")

@@ -230,3 +230,55 @@ def test_pairs_of_frequent_words(spark, monkeypatch):
     assert {r.similarity for r in got if r.qid_a > "q219"} == {1.0}
     assert len({(r.qid_a, r.qid_b) for r in corpus.question_pairs(df, 0.3).collect()}) < len(expected)  # the lossy rule
     assert corpus.all_question_pairs(df.where("false"), 0.3).count() == 0
+
+
+def test_runs_and_logs(spark, tmp_path):
+    ranking = spark.createDataFrame([("q", 1, "a", 2.0)], "qid string, rank int, doc_id string, score double")
+    predicted = spark.createDataFrame([("q", ["a", "a", "b"]), ("p", [])], "qid string, answer array<string>")
+    made = sinks.write_run(ranking, predicted, str(tmp_path / "run"), {"k": 60})
+    again = sinks.write_run(ranking.repartition(3), predicted, str(tmp_path / "run2"), {"k": 60})
+    assert made["questions"] == 2 and {k: made[k] for k in ("settings", "ranking_hash", "predictions_hash")} == {k: again[k] for k in ("settings", "ranking_hash", "predictions_hash")}
+    assert spark.read.json(str(tmp_path / "run/run")).first().settings == '{"k": 60}'
+    sinks.write_predictions(predicted, str(tmp_path / "p"))
+    assert [(r.qid, r.answer) for r in spark.read.json(str(tmp_path / "p")).collect()] == [("p", []), ("q", ["a", "b"])]
+    assert sinks.write_excluded(predicted.withColumn("question", F.lit("?")), str(tmp_path / "x.md")) == 2 and "## q" in (tmp_path / "x.md").read_text()
+    row = ("t", "c", "dev", "recall", 0.5, "")
+    for _ in range(2):
+        sinks.append_experiments(spark, str(tmp_path / "e"), [row])
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+    ranking.write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="columns"):
+        sinks.append_experiments(spark, str(tmp_path / "other"), [row])
+    sinks.local_report(str(tmp_path / "r.md"), "Heading", ranking)
+    assert "q | 1 | a | 2.0" in (tmp_path / "r.md").read_text()
+    with pytest.raises(ValueError, match="more than"):
+        sinks.local_report(str(tmp_path / "r.md"), "Heading", spark.range(5), most=4)
+    plan = sinks.plan_encoding(10, 3, 1.0, 1000)
+    assert [(p["first"], p["last"]) for p in plan] == [(0, 4), (4, 7), (7, 10)] and plan[0]["gb"] == pytest.approx(8e-6)
+
+
+def test_further_readers(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"docs_exclude_from_corpus": ["1", "2", "1"], "n_corpus_after_exclusion": 9}))
+    assert {r.doc_id for r in readers.read_exclusions(spark, str(tmp_path / "d.json")).collect()} == {"1", "2"}
+    (tmp_path / "n.json").write_text("{}")
+    with pytest.raises(Exception, match="no docs_exclude"):
+        readers.read_exclusions(spark, str(tmp_path / "n.json")).collect()
+    chunks = spark.createDataFrame([("b::0000", "b", 0, "x"), ("a::0001", "a", 1, "y"), ("a::0000", "a", 0, "z")], "chunk_id string, doc_id string, position int, text string")
+    assert [r.chunk_id for r in readers.first_chunks(chunks, 2).collect()] == ["a::0000", "a::0001"]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "context_7.json").write_text('{"id": 7, "name": null, "link": "l", "passage": "p"}')
+    found = readers.raw_or_clean(spark, str(tmp_path / "clean.jsonl"), [str(tmp_path / "none"), str(raw)])
+    assert [tuple(r) for r in found.collect()] == [("7", "", "l", "p")]
+    (tmp_path / "clean.jsonl").write_text('{"doc_id": "8", "name": "n", "link": "", "text": "t"}\n')
+    assert [tuple(r) for r in readers.raw_or_clean(spark, str(tmp_path / "clean.jsonl"), [str(raw)]).collect()] == [("8", "n", "", "t")]
+    (tmp_path / "a.csv").write_text('qid,note\n1,"two\nlines"\n')
+    assert [(r.qid, r.note) for r in readers.read_audit(spark, str(tmp_path / "a.csv")).collect()] == [("1", "two\nlines")]
+    (tmp_path / "l.log").write_text("start\nfingerprint: 0123abcd99\n")
+    assert [(r.file, r.fingerprint) for r in readers.log_fingerprints(spark, str(tmp_path / "l.log")).collect()] == [("l.log", "0123abcd99")]
+    one = spark.createDataFrame([("a",)], "chunk_id string")
+    assert {r.source for r in readers.union_by_source({"x": one, "y": one}).collect()} == {"x", "y"}
+    assert sinks.vectors_match(one, spark.createDataFrame([("a",), ("b",)], "chunk_id string")) == (0, 1)
+    assert {r.doc_id for r in readers.corpus_ids(chunks).collect()} == {"a", "b"}
+    qids = spark.createDataFrame([("1",), ("2",)], "qid string")
+    assert [r.qid for r in splits.not_nested(qids, qids.where("qid = '1'")).collect()] == ["2"]

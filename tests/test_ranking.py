@@ -181,7 +181,8 @@ def _tokens(text):
 def test_questions_in_several_blocks(spark, monkeypatch):
     chunks, questions = demo.synthetic(spark, 12)
     whole = bm25.score_chunks(questions, bm25.build_index(chunks)).collect()
-    monkeypatch.setattr(bm25, "TERM_BLOCK", 5)
+    for name, size in {"QUESTION_BLOCK": 2, "CHUNK_BLOCK": 5, "AT_ONCE": 1, "DENSE": 0.5}.items():
+        monkeypatch.setattr(bm25, name, size)
     assert sorted(bm25.score_chunks(questions, bm25.build_index(chunks)).collect()) == sorted(whole)
 
 
