@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from docloom.llm.tiles import meetings, whole_tiles
+from docloom.operators.tiles import meetings, whole_tiles
 from docloom.llm.words import folded_words, mixed, rolling_hashes, word_hash
 from docloom.session import discard, materialize
 
@@ -30,9 +30,9 @@ K = 6
 WINDOW = 4
 #: Buckets of the histogram that tells rare runs from frequent ones: 2**16 counts, whatever the input.
 HISTOGRAM_BITS = 16
-SIGNATURE_WORDS = 2  # of 64 bits
-#: Hashes of smallest words a text, and words in each. Of shuffled texts at two thirds 9e-4 share none, at 3/4 5e-6.
-FREE, TOGETHER = 32, 4
+SIGNATURE_WORDS = 2  # of 64 bits: b0 and b1
+#: Hashes of smallest words a text, and words in each. Of shuffled texts at two thirds 9e-4 share none, at 3/4 2e-5.
+FREE, TOGETHER = 20, 3
 #: Sets of up to so many words also have a hash of every two neighbours in sorted order, which finds every pair of them.
 SMALL = 12
 #: Records of a side of a bucket that are compared at once.
@@ -132,7 +132,7 @@ def _free_hashes(ordered: np.ndarray) -> np.ndarray:
         return out
 
 
-_SEEDS = "side string, id long, n int, bits array<long>, seeds array<struct<h: long, at: int>>"
+_SEEDS = "role int, id long, n int, b0 long, b1 long, seeds array<struct<h: long, at: int>>"
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch], levels: bytes) -> Iterator[pa.RecordBatch]:
@@ -165,8 +165,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], levels: bytes) -> Iterator[p
         by = np.argsort(text, kind="stable")
         items = pa.StructArray.from_arrays([pa.array(h[by].view(np.int64)), pa.array(place[by])], ["h", "at"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[by], np.arange(len(offsets))).astype(np.int32)), items)
-        bitmaps = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SIGNATURE_WORDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(starts).astype(np.int32)), bitmaps, lists], ["side", "id", "n", "bits", "seeds"])
+        bitmaps = [pa.array(np.ascontiguousarray(column)) for column in bits.view(np.int64).T]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(starts).astype(np.int32)), *bitmaps, lists], ["role", "id", "n", "b0", "b1", "seeds"])
 
 
 # --- verification ---
@@ -243,17 +243,16 @@ def _verifier(num: int, den: int):
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Rows ``tile, role, id, at, n, bits`` from rows ``h, side, ..., lefts, rights``: a bucket is one tile, or a tile for
-    every two blocks of its sides."""
-    fields = ["id", "at", "n", "bits"]
-    left = F.col("side") == "l"
-    role = F.when(left, 1).otherwise(2).alias("role")
+    """Rows ``tile, role, id, at, n, b0, b1`` from rows ``h, role, ..., lefts, rights``: a bucket is one tile, or a tile
+    for every two blocks of its sides."""
+    fields = ["id", "at", "n", "b0", "b1"]
+    left = F.col("role") == 1
     large = (F.col("lefts") > TILE) | (F.col("rights") > TILE)
-    small = rows.where(~large).select(F.col("h").alias("tile"), role, *fields)
+    small = rows.where(~large).select(F.col("h").alias("tile"), "role", *fields)
     blocks = {s: F.ceil(F.col(s) / TILE).cast("int") for s in ("lefts", "rights")}
     own, others = (F.when(left, a).otherwise(b) for a, b in ((blocks["lefts"], blocks["rights"]), (blocks["rights"], blocks["lefts"])))
-    dealt = rows.where(large).select("h", role, *fields, F.pmod(F.xxhash64("id"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
-    a, b = (F.when(F.col("role") == 1, F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own")))
+    dealt = rows.where(large).select("h", "role", *fields, F.pmod(F.xxhash64("id"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    a, b = (F.when(left, F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own")))
     return small.unionByName(dealt.select(F.xxhash64("h", a, b).alias("tile"), "role", *fields))
 
 
@@ -263,12 +262,12 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
     never drops a pair that does."""
     for table in whole_tiles(batches):
         tile, role, ids, at, n = (table[c].to_numpy() for c in ("tile", "role", "id", "at", "n"))
-        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), -1)
+        b0, b1 = (table[c].to_numpy().view(np.uint64) for c in ("b0", "b1"))
 
         def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             # |A u B| = (n + m + d) / 2 and |A n B| = (n + m - d) / 2, where d words are on one side only
             near = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
-            differing = np.bitwise_count(bits[i] ^ bits[j]).sum(-1, dtype=np.int32)
+            differing = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j])
             return near & (differing * (num + den) <= (n[i] + n[j]) * (den - num))
 
         for i, j in meetings(tile, role, possible):
@@ -284,7 +283,7 @@ def overlapping_records(left: DataFrame, right: DataFrame, left_key: str, right_
     Equal texts form a class; classes are compared, and their members joined to the result, so copies cost nothing but
     their own rows. The only data on the driver is a histogram of 2**16 counts. Every pair that shares a run of
     ``K + WINDOW - 1`` words is a candidate (texts shorter than a run: the same whole text); of pairs without such a run
-    at ``num/den`` = 2/3 9e-4 are missed, 5e-6 at 3/4, and none of sets of up to ``SMALL`` words.
+    at ``num/den`` = 2/3 9e-4 are missed, 2e-5 at 3/4, and none of sets of up to ``SMALL`` words.
 
     Null keys, and texts that are null, blank or without a word don't count; repeated rows count once; empty tables
     give no rows; other columns are ignored, whatever their names."""
@@ -293,11 +292,12 @@ def overlapping_records(left: DataFrame, right: DataFrame, left_key: str, right_
     cls = F.unhex(F.md5("text")).alias("cls")
     texts = rows.groupBy("side", cls).agg(F.any_value("text").alias("text")).mapInArrow(_fold, "side string, cls binary, words string")
     texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    marked = texts.select("side", "id", "words").mapInArrow(partial(_fingerprint, levels=_histogram(texts)), _SEEDS)
+    role = F.when(F.col("side") == "l", 1).otherwise(2).alias("role")
+    marked = texts.select(role, "id", "words").mapInArrow(partial(_fingerprint, levels=_histogram(texts)), _SEEDS)
     marked = materialize(marked, "fingerprints")
-    seeds = marked.select("side", "id", F.explode("seeds").alias("s")).select("side", "id", "s.h", "s.at")
-    sides = seeds.groupBy("h").agg(F.count_if(F.col("side") == "l").alias("lefts"), F.count_if(F.col("side") == "r").alias("rights")).where("lefts > 0 and rights > 0")
-    met = seeds.join(sides, "h").join(marked.select("id", "n", "bits"), "id")
+    seeds = marked.select("role", "id", F.explode("seeds").alias("s")).select("role", "id", "s.h", "s.at")
+    sides = seeds.groupBy("h").agg(F.count_if(F.col("role") == 1).alias("lefts"), F.count_if(F.col("role") == 2).alias("rights")).where("lefts > 0 and rights > 0")
+    met = seeds.join(sides, "h").join(marked.select("id", "n", "b0", "b1"), "id")
     tiles = _tiles(met).repartition("tile").sortWithinPartitions("tile")
     places = tiles.mapInArrow(partial(_compare, num=num, den=den), "a long, b long, l int, r int")
     # a record has a bounded number of seeds for its length, and so has a pair
