@@ -9,7 +9,6 @@ cut by number: not files, not candidates. Only identifiers and orders are posted
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -19,9 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, ShortType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from docloom.llm.tiles import meetings, whole_tiles
+from docloom.operators.tiles import meetings, whole_tiles
 from docloom.session import discard, materialize
 
 #: Nearest pivots in a vector's order, and of them those whose pairs it is posted under.
@@ -69,15 +68,22 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.take_along_axis(top, order, 1).astype(np.int16)
 
 
+_PLACED = StructType([StructField("pairs", ArrayType(IntegerType())), StructField("perm", BinaryType())])
+
+
 def _permutations(pivots: np.ndarray):
-    """Column function: the order of each vector."""
+    """Column function: the files of each vector, and its order as bytes."""
 
-    @F.arrow_udf(ArrayType(ShortType()))
+    @F.arrow_udf(_PLACED)
     def nearest(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
-            return pa.array([], pa.list_(pa.int16()))
+            return pa.array([], pa.struct([("pairs", pa.list_(pa.int32())), ("perm", pa.binary())]))
         found = _orders(_matrix(vectors, pivots.shape[1]), pivots)
-        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())
+        first = np.sort(found[:, : min(POSTED, found.shape[1])].astype(np.int32), axis=1)
+        a, b = np.triu_indices(first.shape[1], 1)
+        pairs = (first[:, a] << 16) | first[:, b]
+        lists = pa.ListArray.from_arrays(np.arange(len(pairs) + 1, dtype=np.int32) * pairs.shape[1], pairs.ravel())
+        return pa.StructArray.from_arrays([lists, pa.array([row.tobytes() for row in found], pa.binary())], ["pairs", "perm"])
 
     return nearest
 
@@ -112,13 +118,10 @@ def near_distance(pivots: np.ndarray, least: float) -> int:
     return int(np.quantile(footrule(orders, _weights(orders, len(pivots)), n, n + len(x)), NEAR))
 
 
-def _post(placed: DataFrame, posted: int) -> DataFrame:
+def _post(placed: DataFrame) -> DataFrame:
     """Rows ``tile, role, id, pair, perm``: every vector in the files of all pairs of its nearest pivots. A file is one
     tile, or a tile for every two of its blocks."""
-    at = itertools.combinations(range(posted), 2)
-    pair = lambda a, b: F.shiftleft(F.least(a, b).cast("int"), 16).bitwiseOR(F.greatest(a, b).cast("int"))
-    pairs = F.array(*(pair(F.col("perm")[i], F.col("perm")[j]) for i, j in at))
-    rows = placed.select("id", F.explode(pairs).alias("pair"), "perm")
+    rows = placed.select("id", F.explode("pairs").alias("pair"), "perm")
     large = rows.groupBy("pair").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
     large = materialize(large, "large")
     if large.isEmpty():
@@ -136,9 +139,8 @@ def _compare(batches: Iterator[pa.RecordBatch], pivots: int, posted: int, most:
     the first of the files it shares."""
     for table in whole_tiles(batches):
         tile, role, ids, pair = (table[c].to_numpy() for c in ("tile", "role", "id", "pair"))
-        orders = table["perm"].combine_chunks().flatten().to_numpy().reshape(len(tile), -1)
+        orders = np.frombuffer(b"".join(table["perm"].to_pylist()), np.int16).reshape(len(tile), -1)
         weights = _weights(orders, pivots)
-        seen = []
 
         def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return footrule(orders, weights, i, j) <= most
@@ -183,8 +185,8 @@ def most_similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5
     if count > 1:
         matrix = _matrix(sample["embedding"].combine_chunks(), dim)
         posted = min(POSTED, len(matrix))
-        placed = materialize(alike.select("id", _permutations(matrix)("embedding").alias("perm")), "permutations")
-        tiles = _post(placed, posted).repartition("tile").sortWithinPartitions("tile")
+        placed = materialize(alike.select("id", _permutations(matrix)("embedding").alias("p")), "permutations")
+        tiles = _post(placed.select("id", "p.*")).repartition("tile").sortWithinPartitions("tile")
         compare = partial(_compare, pivots=len(matrix), posted=posted, most=near_distance(matrix, least))
         near = tiles.mapInArrow(compare, "x long, y long, distance int")
         vectors = alike.select("id", "embedding")
