@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -215,15 +215,22 @@ def _stamped(texts: DataFrame, closed: DataFrame, limits: DataFrame) -> DataFram
     )
     tail = F.ltrim(rest, blank)
     behind = ended.join(limits, "s").where(size > F.col("size")).select("cls", tail.alias("tail")).where("tail <> ''")
-    behind = behind.select("cls", F.md5("tail").alias("ending"), F.length("tail").alias("k")).distinct().join(closed, "cls")
-    likely = materialize(behind.groupBy("ending", "k").agg(F.count("*").alias("at")).where(F.col("at") >= STAMP_TEXTS), "tails")
-    lengths = likely.agg(F.collect_set("k").alias("lengths"))
-    ends = ended.select("cls", "text").distinct().crossJoin(F.broadcast(lengths))  # one row of lengths
-    ends = ends.select("cls", "text", F.explode(F.filter("lengths", lambda k: k <= F.length("text"))).alias("k"))
-    ends = ends.select("cls", "k", F.md5(F.expr("right(text, k)")).alias("ending")).join(likely, ["k", "ending"])
-    ends = materialize(ends.select("cls", "ending", "at").join(closed, "cls"), "ends")
-    stamps = ends.groupBy("ending").agg(F.count("*").alias("all"), F.any_value("at").alias("at")).where(F.col("at") >= STAMP_SHARE * F.col("all"))
-    return ends.join(stamps.select("ending"), "ending", "left_semi").select("cls", F.lit(True).alias("stamped")).distinct()
+    behind = behind.select("cls", F.length("tail").alias("k"), *_ending("tail")).distinct().join(closed, "cls")
+    likely = materialize(behind.groupBy("k", "e1", "e2").agg(F.count("*").alias("at")).where(F.col("at") >= STAMP_TEXTS), "tails")
+    lengths = likely.agg(F.collect_set("k").alias("lengths"), F.max("k").alias("most"))
+    # the end that holds every stamp is taken from a text once; equal texts give equal rows, which are combined later
+    ends = ended.crossJoin(F.broadcast(lengths)).select("cls", "lengths", F.expr("right(text, most)").alias("end"))
+    ends = ends.select("cls", "end", F.explode(F.filter("lengths", lambda k: k <= F.length("end"))).alias("k"))
+    ends = ends.select("cls", "k", *_ending(F.expr("right(end, k)"))).join(likely, ["k", "e1", "e2"]).distinct().join(closed, "cls")
+    ends = materialize(ends, "ends")
+    stamps = ends.groupBy("k", "e1", "e2").agg(F.count("*").alias("all"), F.any_value("at").alias("at")).where(F.col("at") >= STAMP_SHARE * F.col("all"))
+    return ends.join(stamps.select("k", "e1", "e2"), ["k", "e1", "e2"], "left_semi").select("cls", F.lit(True).alias("stamped")).distinct()
+
+
+def _ending(text: Column | str) -> list[Column]:
+    """128 bits of an ending."""
+    text = F.col(text) if isinstance(text, str) else text
+    return [F.xxhash64(text, F.lit(seed)).alias(f"e{seed}") for seed in (1, 2)]
 
 
 def _final_tokens(words: DataFrame, finals: DataFrame) -> DataFrame:
