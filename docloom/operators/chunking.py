@@ -68,6 +68,13 @@ def chunk_documents(corpus: DataFrame, config: Chunking | None = None) -> DataFr
     return cut.select(chunk_key(F.col("doc_id"), F.col("position")).alias("chunk_id"), "doc_id", "position", "text")
 
 
+def chunking_summary(corpus: DataFrame, config: Chunking | None = None) -> DataFrame:
+    """One row: documents that aren't blank, their chunks, and the documents without a marker, which fall back to windows."""
+    config = config or Chunking()
+    rows = corpus.where(~is_blank(F.col("text"))).select(F.size(chunk_texts(F.col("text"), config)).alias("n"), F.col("text").rlike(f"(?iu){MARKERS[config.strategy][0]}").alias("marked"))
+    return rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count_if(~F.col("marked")).alias("fallback"))
+
+
 def chunk_contract(chunks: DataFrame) -> DataFrame:
     """One row of counts: chunks, ids of another form, repeated ids, empty texts, and chunks a document."""
     repeated = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.count_if(is_blank(F.col("text"))).alias("blank"))

@@ -177,6 +177,13 @@ def ranking_contract(ranking: DataFrame, top: int) -> DataFrame:
     return per.agg(F.count("*").alias("questions"), F.count_if(F.col("n") > top).alias("too_long"), F.count_if(F.col("n") > F.col("d")).alias("repeated"), F.coalesce(F.sum("r"), F.lit(0)).alias("rising"), F.count_if(F.col("n") != F.col("last")).alias("gaps"))
 
 
+def list_differences(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
+    """Rows ``qid, only_a, only_b, symmetric``: how many of the first documents stand in one of two rankings alone."""
+    both = top_lists(a, depth).join(top_lists(b, depth).withColumnRenamed("answer", "other"), "qid")
+    rows = both.select("qid", F.size(F.array_except("answer", "other")).alias("only_a"), F.size(F.array_except("other", "answer")).alias("only_b"))
+    return rows.withColumn("symmetric", F.col("only_a") + F.col("only_b"))
+
+
 def submission_shape(predicted: DataFrame, questions: DataFrame) -> DataFrame:
     """One row of violations of a submission: questions missing or unknown, empty, too many, repeated answers."""
     both = questions.select("qid", F.lit(True).alias("asked")).join(predicted, "qid", "full")

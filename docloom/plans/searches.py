@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.tokens import Tokenizer
-from docloom.operators import bm25, corpus, cutoff, fusion, graph, labels, metrics, pooling, splits, tuning
+from docloom.operators import bm25, chunking, corpus, cutoff, fusion, graph, labels, metrics, pooling, splits, tuning
 from docloom.plans import catalog as c
 from docloom.plans import retrieval
 from docloom.plans import sql as q
@@ -258,6 +258,29 @@ def graph_reach(spark, d):
     return graph.reach_probe(c.ranking(spark, d), c.gold(spark, d), c.co_answered(spark, d), 3)
 
 
+@query(f"""WITH {c._LISTS}, z AS (SELECT qid, len(list_filter(a.l[1:3], lambda x: NOT list_contains(b.l[1:3], x))) AS a_, len(list_filter(b.l[1:3], lambda x: NOT list_contains(a.l[1:3], x))) AS b_ FROM la a JOIN lb b USING (qid))
+    SELECT qid, a_::INT AS only_a, b_::INT AS only_b, (a_ + b_)::INT AS symmetric FROM z""")
+def list_differences(spark, d):
+    return metrics.list_differences(*c.two_runs(spark, d).values(), 3)
+
+
+@query(f"""WITH {c._ARTICLES}, al AS (SELECT * FROM corpus WHERE text <> '') SELECT (SELECT count(*) FROM al) AS documents, (SELECT count(*) FROM loose) AS chunks, (SELECT count(*) FROM al ANTI JOIN (SELECT doc_id FROM loose_l WHERE label <> '') USING (doc_id)) AS fallback""")
+def chunking_summary(spark, d):
+    return chunking.chunking_summary(c.clean(spark, d))
+
+
+@query(rf"""WITH {c._EDGES}, {q.EVAL}, nm AS (SELECT DISTINCT qid, upper(unnest(regexp_extract_all(coalesce(question, ''), '{c._CITED}'))) AS code FROM eq) SELECT DISTINCT qid, doc_id FROM nm JOIN codes USING (code)""")
+def cited_documents(spark, d):
+    """Documents whose code a question names."""
+    return graph.cited_by_question(labels.distinct_questions(c.table(spark, d, "eval_questions")), c.clean(spark, d))
+
+
+@query(f"WITH {q.EVAL} SELECT qid, array_to_string(list_filter({q.tokens('coalesce(question, chr(32))')}, lambda t: length(t) >= 3), ' ') AS tokens FROM eq")
+def tokens_of_three(spark, d):
+    rows = labels.distinct_questions(c.table(spark, d, "eval_questions"))
+    return rows.select("qid", F.array_join(Tokenizer(min_len=3)(F.col("question")), " ").alias("tokens"))
+
+
 # --- contracts over planted violations ------------------------------------------------------------------------------
 
 _RAW_TEXT = "SELECT CAST(id AS VARCHAR) AS doc_id, coalesce(link, '') AS link, coalesce(passage, '') AS text FROM raw_contexts"

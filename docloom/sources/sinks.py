@@ -8,7 +8,7 @@ import subprocess
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.metrics import dedupe_and_cut, submission_shape
@@ -53,9 +53,9 @@ def append_missing(rows: DataFrame, path: str, key: str) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     new = rows.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti") if there else rows
-    before = spark.read.schema(rows.schema).parquet(path).count() if there else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).count() - before
+    written = Observation()
+    new.observe(written, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
 
 
 def check_shards(shards: DataFrame) -> DataFrame:
