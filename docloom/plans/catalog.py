@@ -443,10 +443,10 @@ def question_words(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {q.RANKING}, {q.CORPUS}, {q.EVAL}, {_NAME_WORDS},
-    s AS (SELECT qid, doc_id, round(score * (1 + 0.3 * CASE WHEN len(n) > 0 THEN coalesce(len(list_intersect(w, n)), 0) / len(n) ELSE 0 END), 6) AS score, rank AS old_rank FROM ranking LEFT JOIN qw USING (qid) LEFT JOIN nw USING (doc_id))
+    s AS (SELECT qid, doc_id, round(score * (1 + 0.3 * CASE WHEN len(n) > 0 THEN coalesce(len(list_intersect(w, n)), 0) / len(n) ELSE 0 END), 9) AS score, rank AS old_rank FROM ranking LEFT JOIN qw USING (qid) LEFT JOIN nw USING (doc_id))
     SELECT qid, doc_id, score, old_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS INT) AS rank FROM s""")
 def rescore_by_name(spark, d):
-    return fusion.rescore_by_overlap(ranking(spark, d), question_words(spark, d), name_words(spark, d), 0.3)
+    return fusion.rescore_by_overlap(ranking(spark, d), question_words(spark, d), name_words(spark, d), 0.3, 9)
 
 
 _DOMAIN = f"""{q.RANKING}, {q.CORPUS}, dom AS (SELECT doc_id, {_LINK_DOMAIN} AS domain FROM corpus),
