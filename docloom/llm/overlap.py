@@ -15,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from docloom.operators.tiles import meetings, whole_tiles
-from docloom.llm.words import folded_words, mixed, rolling_hashes, word_hash
+from docloom.llm.words import folded_words, mixed, rolling_hashes, word_hashes
 from docloom.session import discard, materialize
 
 K = 6
@@ -58,7 +59,7 @@ def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of all texts of a batch one after another, and where each text begins (and the end)."""
     lists = [text.split(" ") for text in words.to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((word_hash(w) for x in lists for w in x), np.uint64, int(offsets[-1])), offsets
+    return word_hashes(list(chain.from_iterable(lists))), offsets
 
 
 def _runs(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +120,32 @@ def _small_hashes(ordered: np.ndarray) -> np.ndarray:
     return np.concatenate([pairs, mixed(ordered ^ np.uint64(2))]) if len(ordered) <= 3 else pairs
 
 
-def _free_hashes(ordered: np.ndarray) -> np.ndarray:
-    """Hashes of the smallest words of a set under each of ``FREE`` hash functions."""
+def _free_hashes(sets: np.ndarray) -> np.ndarray:
+    """For every row of ``sets`` (words of sets of equal size) the hashes of its smallest words under each of ``FREE`` hash
+    functions."""
     with np.errstate(over="ignore"):
-        if len(ordered) <= TOGETHER:
-            return np.empty(0, np.uint64)
-        ranks = ordered.astype(np.uint32)[None, :] * _FACTORS[:, None]
-        together = np.sort(ordered[np.argpartition(ranks, TOGETHER - 1, axis=1)[:, :TOGETHER]], axis=1)
+        ranks = sets.astype(np.uint32)[:, None, :] * _FACTORS[:, None]
+        smallest = np.argpartition(ranks, TOGETHER - 1, axis=2)[:, :, :TOGETHER]
+        together = np.sort(np.take_along_axis(np.broadcast_to(sets[:, None, :], ranks.shape), smallest, 2), axis=2)
         out = _FREE_SALTS
-        for column in together.T:
-            out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + column)
+        for i in range(TOGETHER):
+            out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + together[:, :, i])
         return out
 
 
+def _unordered(words: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows ``set, hash`` of the hashes that don't depend on order, for sets of sorted words one after another."""
+    sizes, found = np.diff(starts), []
+    for n in np.unique(sizes[sizes > TOGETHER]):
+        which = np.flatnonzero(sizes == n)
+        for part in np.array_split(which, max(1, len(which) * int(n) * FREE >> 22)):
+            found.append((np.repeat(part, FREE), _free_hashes(words[starts[part][:, None] + np.arange(n)]).ravel()))
+    for i in np.flatnonzero((sizes <= SMALL) & (sizes > 0)):
+        small = _small_hashes(words[starts[i] : starts[i + 1]])
+        found.append((np.full(len(small), i), small))
+    return found
+
+
 _SEEDS = "role int, id long, n int, b0 long, b1 long, seeds array<struct<h: long, at: int>>"
 
 
@@ -156,11 +170,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], levels: bytes) -> Iterator[p
         starts = np.searchsorted(owner, np.arange(len(offsets)))
         bits = np.zeros((len(offsets) - 1, SIGNATURE_WORDS), np.uint64)
         np.bitwise_or.at(bits, (owner, ((words >> np.uint64(8)) % np.uint64(SIGNATURE_WORDS)).astype(np.int64)), np.uint64(1) << (words % np.uint64(64)))
-        for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
-            free = _free_hashes(words[lo:hi])
-            if hi - lo <= SMALL:
-                free = np.concatenate([free, _small_hashes(words[lo:hi])])
-            found.append((np.full(len(free), i), free, np.full(len(free), -1, np.int32)))
+        found += [(which, free, np.full(len(free), -1, np.int32)) for which, free in _unordered(words, starts)]
         text, h, place = (np.concatenate(x) for x in zip(*found))
         by = np.argsort(text, kind="stable")
         items = pa.StructArray.from_arrays([pa.array(h[by].view(np.int64)), pa.array(place[by])], ["h", "at"])
@@ -178,9 +188,9 @@ def chain_and_extend(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -
     """Seeds in the longest collinear chain, and which words of each list lie in the chain's runs after extending them in
     both directions as long as the words agree. A seed is where a run begins in ``a`` and in ``b``."""
     k = min(K, len(a), len(b))
-    chain = _longest_chain(seeds)
+    along = _longest_chain(seeds)
     in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for i, j in chain:
+    for i, j in along:
         if in_a[i : i + k].all() and in_b[j : j + k].all():
             continue  # within the run of a seed before
         lo = 0
@@ -191,7 +201,7 @@ def chain_and_extend(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -
             hi += 1
         in_a[i - lo : i + hi] = True
         in_b[j - lo : j + hi] = True
-    return len(chain), in_a, in_b
+    return len(along), in_a, in_b
 
 
 def _longest_chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -15,21 +16,34 @@ _WORD_OR_MARK = re.compile(r"[\w\u0300-\u036f]+")
 _STROKE = str.maketrans("đĐ", "dD")
 _MEMO_SIZE = 200_000
 
-_folded: dict[str, str] = {}
-_hashes: dict[str, int] = {}
+class _Memo(dict):
+    """What a function gave for short words; bounded, and looked up without a call where it is known."""
+
+    def __init__(self, function: Callable):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: str):
+        known = self.function(word)
+        if len(word) < 40:
+            if len(self) >= _MEMO_SIZE:
+                self.clear()
+            self[word] = known
+        return known
+
+
+def _bare(word: str) -> str:
+    parts = unicodedata.normalize("NFD", word.translate(_STROKE))
+    return "".join(c for c in parts if not unicodedata.combining(c))
+
+
+_folded = _Memo(_bare)
+_hashes = _Memo(xxhash.xxh3_64_intdigest)
 
 
 def fold(word: str) -> str:
     """A lower-case word without accents (đ as d)."""
-    known = _folded.get(word)
-    if known is None:
-        parts = unicodedata.normalize("NFD", word.translate(_STROKE))
-        known = "".join(c for c in parts if not unicodedata.combining(c))
-        if len(word) < 40:
-            if len(_folded) >= _MEMO_SIZE:
-                _folded.clear()
-            _folded[word] = known
-    return known
+    return _folded[word]
 
 
 def folded_words(text: str) -> list[str]:
@@ -37,7 +51,7 @@ def folded_words(text: str) -> list[str]:
     lowered = one_form(text).lower()
     if lowered.isascii():
         return _WORD.findall(lowered)
-    return [w for x in _WORD_OR_MARK.findall(lowered) if (w := fold(x))]
+    return list(filter(None, map(_folded.__getitem__, _WORD_OR_MARK.findall(lowered))))
 
 
 def accented_terms(text: str) -> list[str]:
@@ -47,19 +61,12 @@ def accented_terms(text: str) -> list[str]:
 
 def word_hash(word: str) -> int:
     """64 bits of a word."""
-    known = _hashes.get(word)
-    if known is None:
-        known = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 40:
-            if len(_hashes) >= _MEMO_SIZE:
-                _hashes.clear()
-            _hashes[word] = known
-    return known
+    return _hashes[word]
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
     """The hashes of a list of words, as uint64."""
-    return np.fromiter(map(word_hash, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 _BASE = 0x9E3779B97F4A7C15
