@@ -204,7 +204,7 @@ def test_dense_usable_and_empty(spark):
     fine = rows.where(dense.usable(F.col("embedding"), 2))
     assert {r.id for r in fine.collect()} == {"a", "f"}
     assert [(r.qid, r.item_id) for r in dense.search(fine, fine, 5).orderBy("qid").collect()] == [("a", "f"), ("f", "a")]
-    assert dense.search(fine.where("false"), fine).count() == 0
+    assert dense.search(fine.where("false"), fine).count() == 0 == dense.search(fine, fine.where("false")).count()
     assert fine.select(dense.norm(dense.normalize(F.col("embedding"))).alias("n")).first().n == pytest.approx(1)
 
 
@@ -282,3 +282,20 @@ def test_further_readers(spark, tmp_path):
     assert {r.doc_id for r in readers.corpus_ids(chunks).collect()} == {"a", "b"}
     qids = spark.createDataFrame([("1",), ("2",)], "qid string")
     assert [r.qid for r in splits.not_nested(qids, qids.where("qid = '1'")).collect()] == ["2"]
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"v{i:03d}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    whole = sorted(dense.search(df.where("id < 'v040'"), df, 4).collect())
+    assert len(whole) == 160
+    for name, size in {"QUERY_BLOCK": 7, "ITEM_BLOCK": 11, "AT_ONCE": 2}.items():
+        monkeypatch.setattr(dense, name, size)
+    assert sorted(dense.search(df.where("id < 'v040'"), df, 4).collect()) == whole
+    chunks = df.select(F.col("id").alias("chunk_id"))
+    vectors = df.withColumnRenamed("id", "chunk_id")
+    assert dense.require_match(chunks, vectors, 8).count() == 90
+    for a, b, dim in ((chunks, vectors.limit(5), 8), (chunks.limit(5), vectors, 8), (chunks, vectors, 9)):
+        with pytest.raises(ValueError):
+            dense.require_match(a, b, dim)
