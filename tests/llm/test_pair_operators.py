@@ -195,6 +195,42 @@ def test_reordered_records_are_found(spark):
     assert links.agg(F.avg("order_share")).first()[0] < 0.5
 
 
+def unmet_pair(rng, shared=72):
+    """Two texts at a similarity of one half or just above that agree on no sketch: their own k-mers are those that the
+    hash functions prefer."""
+    words = [f"g{rng.randrange(10**6)}" for _ in range(shared + 2)]
+    seen = set()
+
+    def own(size):
+        text = list(words)
+        with np.errstate(over="ignore"):
+            for _ in range(size):
+                tries = [f"r{rng.randrange(10**9)}" for _ in range(300)]
+                kmers = neardup.rolling_hashes(neardup.word_hashes([x for w in tries for x in (*text[-2:], w)]), 3)[::3]
+                so_far = neardup.rolling_hashes(neardup.word_hashes(text), 3)
+                ranks = lambda k: k.astype(np.uint32)[None, :] * neardup._FACTORS[: neardup.SKETCHES, None] + neardup._TERMS.astype(np.uint32)[: neardup.SKETCHES, None]
+                best = (ranks(kmers) < ranks(so_far).min(1)[:, None]) & np.array([i not in seen for i in range(neardup.SKETCHES)])[:, None]
+                pick = int(best.sum(0).argmax())
+                seen.update(np.flatnonzero(best[:, pick]).tolist())
+                text.append(tries[pick])
+        return " ".join(text)
+
+    return own(shared // 2), own(shared // 2)
+
+
+def test_links_that_no_sketch_finds(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(3):
+        a, b = unmet_pair(rng)
+        x, y = (neardup.order_min_hash(np.array(list(dict.fromkeys(neardup.rolling_hashes(neardup.word_hashes(t.split()), 3).tolist())), np.uint64))[0] for t in (a, b))
+        assert not set((x >> np.uint64(1)).tolist()) & set((y >> np.uint64(1)).tolist()) and jaccard(a, b) == 0.5
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    groups, links = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert {tuple(r) for r in neardup.group_pairs(groups).collect()} == brute_groups(rows) == {(0, 1), (2, 3), (4, 5)}
+    assert links.where("aligned and order_share is null").count() == 3
+
+
 def test_sketches_meet_whatever_the_order():
     """The chance that two records at a similarity of about one half agree on no sketch, by simulation."""
     rng = np.random.default_rng(5)
