@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import bm25, cutoff, fusion, metrics, pooling, statistics
 from docloom.plans import retrieval
 from docloom.plans.config import ConfigError, load, merged
+from docloom.session import materialize
 from docloom.sources import demo
 
 
@@ -186,6 +187,44 @@ def test_questions_in_several_blocks(spark, monkeypatch):
     assert sorted(bm25.score_chunks(questions, bm25.build_index(chunks)).collect()) == sorted(whole)
 
 
+def test_a_search_moves_no_chunk_for_a_block_of_questions(spark, monkeypatch):
+    """However many blocks there are, the plan repeats neither questions nor chunks, and ranks without a shuffle."""
+    chunks, questions = demo.synthetic(spark, 12)
+    for name, size in {"QUESTION_BLOCK": 2, "CHUNK_BLOCK": 5}.items():
+        monkeypatch.setattr(bm25, name, size)
+    found = bm25.score_chunks(questions, bm25.build_index(chunks), top=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan
+
+
+def test_copies_of_chunks_and_questions(spark, monkeypatch):
+    """Equal texts are scored once, but all copies are ranked, and the last place's ties go by chunk id."""
+    texts = ["an ninh mạng", "an toàn mạng", "thuế đất", "an ninh", "", None]
+    rows = [(f"c{i:02d}", f"d{i % 7}", texts[i * i % 6]) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")
+    asked = [("q1", "an ninh mạng"), ("q2", "an ninh mạng"), ("q3", "đất an"), ("q4", "zz"), ("q5", None)]
+    questions = spark.createDataFrame(asked, "qid string, question string")
+    index = bm25.build_index(chunks)
+    assert index.chunks == 30 and index.documents == 7
+    whole = bm25.score_chunks(questions, index, top=3000).collect()
+    assert len(whole) == sum(sum(1 for _, _, t in rows if set((q or "").split()) & set((t or "").split())) for _, q in asked)
+    for sizes in ({}, {"CHUNK_BLOCK": 1, "QUESTION_BLOCK": 1, "AT_ONCE": 1}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(bm25, name, size)
+        index = bm25.build_index(chunks)
+        for top in (1, 3, 7, 12):
+            got = bm25.score_chunks(questions, index, top=top).collect()
+            want = [r for q in ("q1", "q2", "q3") for r in sorted((r for r in whole if r.qid == q), key=lambda r: (-r.score, r.chunk_id))[:top]]
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_shuffles_of_a_materialized_table_are_freed(spark):
+    shuffles = lambda: str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).count("shuffle_")
+    before = shuffles()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "freed")
+    assert shuffles() <= before and table.count() == 10
+
+
 def test_config(tmp_path):
     (tmp_path / "base.yaml").write_text("a: {x: 1, y: null}\nb: [1]\n")
     (tmp_path / "top.yaml").write_text("extends: base.yaml\na: {x: 2}\nc: {extends: 'base.yaml#a', z: 3}\n")
