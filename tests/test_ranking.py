@@ -197,6 +197,17 @@ def test_a_search_moves_no_chunk_for_a_block_of_questions(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan
 
 
+def test_rows_of_questions_are_shuffled_once(spark):
+    """Fusion and labels of neighbours move the found rows by question, and no more."""
+    a = ranked(spark, {"q": ["x", "y"], "p": ["y"]})
+    shuffles = lambda rows: rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    fused = fusion.fuse({"a": a, "b": ranked(spark, {"q": ["y", "z"]})}, {"a": 1, "b": 0}, carry="chunk_id")
+    assert shuffles(fused) == 1 and [(r.doc_id, r.chunk_id) for r in fused.where("qid = 'q'").orderBy("rank").collect()] == [("x", "x::0000"), ("y", "y::0000")]
+    similar = spark.createDataFrame([("q", "q", '["s"]', 9.0, 1), ("q", "m", '["d", "e,f"]', 4.0, 2), ("q", "n", '["d"]', 2.0, 3), ("q", "o", '["d"]', 1.0, 4)], "qid string, item_id string, answer string, score double, rank int")
+    near = fusion.neighbour_documents(similar, 2)
+    assert shuffles(near) == 1 and [(r.doc_id, r.score) for r in near.orderBy("rank").collect()] == [("d", 1.5), ("e,f", 1.0)]
+
+
 def test_copies_of_chunks_and_questions(spark, monkeypatch):
     """Equal texts are scored once, but all copies are ranked, and the last place's ties go by chunk id."""
     texts = ["an ninh mạng", "an toàn mạng", "thuế đất", "an ninh", "", None]
