@@ -310,6 +310,11 @@ def candidates(spark, d, top: int = 50) -> DataFrame:
     return bm25.score_chunks(asked(spark, d).select("qid", "question"), index, top=top)
 
 
+def gathered(spark, d) -> DataFrame:
+    """The candidates by question, so that pooling and ranking need no shuffle of their own."""
+    return candidates(spark, d).repartition("qid")
+
+
 @query(f"WITH {q.BM25_CHUNKS} SELECT qid, chunk_id, doc_id, score, rank FROM (SELECT qid, item AS chunk_id, doc AS doc_id, score, rank FROM hits)")
 def bm25_chunks(spark, d):
     return candidates(spark, d)
@@ -343,7 +348,7 @@ def explain_questions(spark, d):
 
 def _pool_query(name: str, pool: str, expression: str, extra: str = "", source: str = "cand"):
     def run(spark, d):
-        return pooling.pool_documents(candidates(spark, d), pool, decimals=8)
+        return pooling.pool_documents(gathered(spark, d), pool, decimals=8)
 
     run.__name__ = name
     query(f"WITH {q.BM25_CHUNKS}{extra}, {q.pooled(expression, 'docs', source, 8)} SELECT qid, doc_id, score, chunk_id, rank FROM docs")(run)
@@ -358,7 +363,7 @@ _pool_query("pool_logsumexp", "logsumexp", "max(best) + ln(sum(exp(score - best)
 @query(f"""WITH {q.BM25_CHUNKS}, p AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS place FROM cand)
     SELECT qid, doc_id, string_agg(chunk_id, ',' ORDER BY place) AS chunk_ids FROM p WHERE place <= 3 GROUP BY ALL""")
 def anchor_chunks(spark, d):
-    return pooling.anchor_chunks(candidates(spark, d))
+    return pooling.anchor_chunks(gathered(spark, d))
 
 
 _DENSE = """n AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -408,9 +413,9 @@ _KNN = f"""{q.LABELLED}, {q.EVAL}, {q.bm25("SELECT qid, question AS text FROM eq
 
 def neighbours(spark, d) -> DataFrame:
     memory = train_labels(spark, d).where("question is not null")
-    index = bm25.build_index(memory.select(F.col("qid").alias("chunk_id"), F.col("qid").alias("doc_id"), F.col("question").alias("text")), k1=1.2)
+    index = bm25.build_index(memory.select(F.col("qid").alias("chunk_id"), F.to_json("answer").alias("doc_id"), F.col("question").alias("text")), k1=1.2)
     similar = bm25.score_chunks(asked(spark, d).select("qid", "question"), index, top=51, binary=True)
-    return fusion.neighbour_documents(similar.select("qid", F.col("chunk_id").alias("item_id"), "score", "rank"), memory, 50, 10)
+    return fusion.neighbour_documents(similar.select("qid", F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("answer"), "score", "rank"), 50, 10)
 
 
 @query(f"WITH {_KNN} SELECT * FROM knn")
