@@ -11,6 +11,7 @@ from docloom.plans import catalog as c
 from docloom.plans import retrieval
 from docloom.plans import sql as q
 from docloom.plans.catalog import query
+from docloom.session import materialize
 
 # --- hybrids --------------------------------------------------------------------------------------------------------
 
@@ -242,9 +243,9 @@ def grid_tokenizers(spark, d):
     out = None
     for name in TOKENIZED:
         tokenizer = Tokenizer(name, fold_tone=name != "whitespace")
-        found = bm25.score_chunks(asked, bm25.build_index(pieces, tokenizer), tokenizer, top=50)
+        found = materialize(bm25.score_chunks(asked, bm25.build_index(pieces, tokenizer), tokenizer, top=50), "found")
         for pool in _POOLED:
-            recall = metrics.recall_at(pooling.pool_documents(found, pool), gold, [5]).select(F.lit(name).alias("tokenizer"), F.lit(pool).alias("pool"), "recall")
+            recall = metrics.recall_at(pooling.pool_documents(found.repartition("qid"), pool), gold, [5]).select(F.lit(name).alias("tokenizer"), F.lit(pool).alias("pool"), "recall")
             out = recall if out is None else out.unionByName(recall)
     return out
 
