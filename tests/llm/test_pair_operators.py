@@ -259,6 +259,14 @@ def test_near_duplicate_cases(spark):
     assert empty.count() == links.count() == 0
 
 
+def test_pairs_are_told_apart_without_a_shuffle(spark):
+    """Only pairs of keys that both have several groups can repeat, so only they are made distinct."""
+    groups = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (1, 11), (2, 11), (2, 11), (4, 11)], "key long, group_id long")
+    pairs = neardup.group_pairs(groups)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
 def test_many_copies(spark):
     rows = [(i, "một văn bản được giao lại rất nhiều lần") for i in range(300)] + [(1000 + i, f"khác hẳn số {i} với từ{i} chữ{i} câu{i}") for i in range(50)]
     groups, links = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text")
