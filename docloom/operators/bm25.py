@@ -55,9 +55,9 @@ def tokens_of(rows: DataFrame, keys: list[str], text: str, tokenizer: Tokenizer)
 
 
 def classes(rows: DataFrame, text: str, members: Column, into: str) -> DataFrame:
-    """Rows ``into, text``: the members of each different text, null being empty."""
+    """Rows ``into, text``: the members of each different text, null members too; a null text is an empty one."""
     keyed = rows.select(members.alias(into), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return keyed.groupBy(F.unhex(F.md5("text")).alias("class")).agg(F.array_sort(F.collect_list(into)).alias(into), F.any_value("text").alias("text"))
+    return keyed.groupBy(F.unhex(F.md5("text")).alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct(into))), lambda x: x[into]).alias(into), F.any_value("text").alias("text"))
 
 
 def inverse_frequency(df: Column, total: int) -> Column:
@@ -116,7 +116,8 @@ def score_chunks(questions: DataFrame, index: Index, tokenizer: Tokenizer | None
     """Rows ``qid, chunk_id, doc_id, score, rank``: the ``top`` chunks of every question with a score above 0; ties by
     chunk id. Scores are rounded before they are ranked, so the order doesn't depend on the order of summation.
 
-    Every question meets every block of chunks, as it may match any chunk. The rows of a question leave one task."""
+    A question has one row. Every question meets every block of chunks, as it may match any chunk; the rows of a question
+    leave one task."""
     texts = classes(questions.select(F.col("qid").cast("string").alias("qid"), "question"), "question", F.col("qid"), "qids")
     asked = materialize(tokens_of(texts, ["qids"], "text", tokenizer or Tokenizer()), "questions")
     number = asked.count()

@@ -217,6 +217,8 @@ def test_copies_of_chunks_and_questions(spark, monkeypatch):
     questions = spark.createDataFrame(asked, "qid string, question string")
     index = bm25.build_index(chunks)
     assert index.chunks == 30 and index.documents == 7
+    nameless = spark.createDataFrame([(None, "mạng")], "qid string, question string")
+    assert [r.qid for r in bm25.score_chunks(nameless, index, top=3).collect()] == [None] * 3
     whole = bm25.score_chunks(questions, index, top=3000).collect()
     assert len(whole) == sum(sum(1 for _, _, t in rows if set((q or "").split()) & set((t or "").split())) for _, q in asked)
     for sizes in ({}, {"CHUNK_BLOCK": 1, "QUESTION_BLOCK": 1, "AT_ONCE": 1}):
